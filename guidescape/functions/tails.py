@@ -1,128 +1,123 @@
 """Tail probabilities as Spark columns.
 
-The hypergeometric tails are plain built-in expressions. The log mass uses the saddle-point form (Loader 2000), which
-keeps its accuracy for totals far beyond the range where differences of log-gammas cancel, and only the declining side
-of the distribution is ever summed, so the number of terms grows with the standard deviation and not with the draws.
 Chi-square, normal and t tails reach the numeric library Spark already ships through ``java_method``; call them on
-aggregated rows.
+aggregated rows. The hypergeometric tails are sums of varying length, so they run as one vectorised Arrow function over
+distinct argument combinations.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
 
 HALF_LOG_2PI = 0.5 * math.log(2 * math.pi)
-# ln(n!) minus Stirling's formula for n = 1..15, where the series below is not yet exact to double precision
-SMALL_STIRLING = [
-    math.lgamma(n + 1) - ((n + 0.5) * math.log(n) - n + HALF_LOG_2PI) for n in range(1, 16)
-]
+# ln(n!) minus Stirling's formula for n = 0..15, where the series below is not yet exact to double precision
+SMALL_STIRLING = np.array(
+    [0.0] + [math.lgamma(n + 1) - ((n + 0.5) * math.log(n) - n + HALF_LOG_2PI) for n in range(1, 16)]
+)
 
 
 def _double(x) -> Column:
     return (x if isinstance(x, Column) else F.lit(x)).cast("double")
 
 
-def _stirling_error(n: Column) -> Column:
-    small = F.element_at(
-        F.array(*[F.lit(v) for v in SMALL_STIRLING]), F.greatest(n, F.lit(1.0)).cast("int")
-    )
-    n2 = n * n
-    series = (
-        F.lit(1 / 12) - (F.lit(1 / 360) - (F.lit(1 / 1260) - (F.lit(1 / 1680) - F.lit(1 / 1188) / n2) / n2) / n2) / n2
-    ) / n
-    return F.when(n <= 0, 0.0).when(n <= 15, small).otherwise(series)
+def _stirling_error(n: np.ndarray) -> np.ndarray:
+    big = np.maximum(n, 16.0)
+    n2 = big * big
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - (1 / 1680 - 1 / 1188 / n2) / n2) / n2) / n2) / big
+    return np.where(n <= 15, SMALL_STIRLING[np.clip(n, 0, 15).astype(int)], series)
 
 
-def _deviance(x: Column, mean: Column) -> Column:
+def _deviance(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
     """x·ln(x/mean) + mean − x, written so that x close to the mean does not cancel."""
     rel = (x - mean) / mean
-    return mean * ((rel + 1) * F.log1p(rel) - rel)
+    return mean * ((rel + 1) * np.log1p(rel) - rel)
 
 
-def _log_binomial(x: Column, n: Column, p: Column, q: Column) -> Column:
+def _log_binomial(x: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
     inner = (
         _stirling_error(n)
         - _stirling_error(x)
         - _stirling_error(n - x)
         - _deviance(x, n * p)
-        - _deviance(n - x, n * q)
-        - F.lit(HALF_LOG_2PI)
-        - 0.5 * (F.log(x) + F.log1p(-x / n))
+        - _deviance(n - x, n * (1 - p))
+        - HALF_LOG_2PI
+        - 0.5 * (np.log(x) + np.log1p(-x / n))
     )
-    return F.when(n == 0, 0.0).when(x == 0, n * F.log(q)).when(x == n, n * F.log(p)).otherwise(inner)
+    at_ends = np.where(x == 0, n * np.log1p(-p), n * np.log(p))
+    return np.where(n == 0, 0.0, np.where((x == 0) | (x == n), at_ends, inner))
 
 
-def _log_mass(x: Column, m: Column, n: Column, k: Column) -> Column:
-    """ln P(X = x), X ~ Hypergeometric(m white, n black, k draws), for x inside the support."""
+def _mass(x: np.ndarray, m: np.ndarray, n: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """P(X = x) by the saddle-point form (Loader 2000), which stays accurate where differences of log-gammas cancel."""
     p = k / (m + n)
-    q = (m + n - k) / (m + n)
-    value = _log_binomial(x, m, p, q) + _log_binomial(k - x, n, p, q) - _log_binomial(k, m + n, p, q)
-    return F.when((k == 0) | (k == m + n), 0.0).otherwise(value)
-
-
-def _declining_sum(x: Column, limit: Column, m: Column, n: Column, k: Column, upward: bool) -> Column:
-    """1 + r1 + r1·r2 + …: masses relative to the one at ``x``, moving away from the mode.
-
-    Ten standard deviations plus sixty steps leave a remainder below double precision.
-    """
-    size = m + n
-    spread = F.sqrt(k * (m / size) * (n / size) * ((size - k) / F.greatest(size - 1, F.lit(1.0))))
-    steps = F.least(F.abs(limit - x), F.ceil(spread * 10) + 60).cast("int")
-
-    def step(acc: Column, i: Column) -> Column:
-        if upward:
-            at = x + i - 1
-            ratio = (m - at) * (k - at) / ((at + 1) * (n - k + at + 1))
+    value = _log_binomial(x, m, p) + _log_binomial(k - x, n, p) - _log_binomial(k, m + n, p)
+    return np.where((k == 0) | (k == m + n), 1.0, np.exp(value))
+
+
+def _declining_sum(x: np.ndarray, m: np.ndarray, n: np.ndarray, k: np.ndarray, step: int) -> np.ndarray:
+    """1 + r1 + r1·r2 + …: masses relative to the one at ``x``, walking away from the mode until they vanish."""
+    total, term, at = np.ones_like(x), np.ones_like(x), x.copy()
+    live = np.arange(len(x))
+    while len(live):
+        a, mm, nn, kk = at[live], m[live], n[live], k[live]
+        if step > 0:
+            ratio = (mm - a) * (kk - a) / ((a + 1) * (nn - kk + a + 1))
         else:
-            at = x - i + 1
-            ratio = at * (n - k + at) / ((m - at + 1) * (k - at + 1))
-        term = acc["term"] * ratio
-        return F.struct((acc["sum"] + term).alias("sum"), term.alias("term"))
-
-    start = F.struct(F.lit(1.0).alias("sum"), F.lit(1.0).alias("term"))
-    # `sequence` counts down when its end lies before its start, so an empty walk needs its own branch
-    walk = F.when(steps >= 1, F.sequence(F.lit(1), F.greatest(steps, F.lit(1)))).otherwise(
-        F.array().cast("array<int>")
-    )
-    return F.aggregate(walk, start, step, lambda acc: acc["sum"])
-
-
-def _at_least(x: Column, m: Column, n: Column, k: Column) -> Column:
-    """P(X ≥ x) for x at or above the mode."""
-    top = F.least(m, k)
-    return F.when(x > top, 0.0).otherwise(
-        F.exp(_log_mass(x, m, n, k)) * _declining_sum(x, top, m, n, k, upward=True)
-    )
-
-
-def _at_most(x: Column, m: Column, n: Column, k: Column) -> Column:
-    """P(X ≤ x) for x at or below the mode."""
-    bottom = F.greatest(F.lit(0.0), k - n)
-    return F.when(x < bottom, 0.0).otherwise(
-        F.exp(_log_mass(x, m, n, k)) * _declining_sum(x, bottom, m, n, k, upward=False)
-    )
+            ratio = a * (nn - kk + a) / ((mm - a + 1) * (kk - a + 1))
+        term[live] *= ratio
+        total[live] += term[live]
+        at[live] += step
+        live = live[term[live] > total[live] * 1e-18]
+    return total
 
 
-def _mode(m: Column, n: Column, k: Column) -> Column:
-    return F.floor((k + 1) * (m + 1) / (m + n + 2)).cast("double")
+def hypergeom_tail_values(
+    q: np.ndarray, m: np.ndarray, n: np.ndarray, k: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """(P(X ≥ q), P(X ≤ q)) for k draws from m white and n black; NaN when more is drawn than there is.
 
-
-def hypergeom_upper(q, m, n, k) -> Column:
-    """P(X ≥ q); null when more is drawn than there is."""
-    q, m, n, k = (_double(c) for c in (q, m, n, k))
-    bottom = F.greatest(F.lit(0.0), k - n)
-    tail = F.when(q > _mode(m, n, k), _at_least(q, m, n, k)).otherwise(1 - _at_most(q - 1, m, n, k))
-    return F.when(k > m + n, F.lit(None)).when(q <= bottom, 1.0).otherwise(F.least(F.lit(1.0), tail))
-
-
-def hypergeom_lower(q, m, n, k) -> Column:
-    """P(X ≤ q); null when more is drawn than there is."""
-    q, m, n, k = (_double(c) for c in (q, m, n, k))
-    top = F.least(m, k)
-    tail = F.when(q >= _mode(m, n, k), 1 - _at_least(q + 1, m, n, k)).otherwise(_at_most(q, m, n, k))
-    return F.when(k > m + n, F.lit(None)).when(q >= top, 1.0).otherwise(F.least(F.lit(1.0), tail))
+    Only the declining side of the distribution is summed; the other tail is its complement.
+    """
+    q, m, n, k = (np.array(v, dtype=float) for v in (q, m, n, k))
+    upper, lower = np.full(len(q), np.nan), np.full(len(q), np.nan)
+    low, high = np.maximum(0.0, k - n), np.minimum(m, k)
+    valid = k <= m + n
+    mode = np.floor((k + 1) * (m + 1) / (m + n + 2))
+    upper[valid & (q <= low)], upper[valid & (q > high)] = 1.0, 0.0
+    lower[valid & (q >= high)], lower[valid & (q < low)] = 1.0, 0.0
+
+    def tail(pick: np.ndarray, start: np.ndarray, step: int) -> np.ndarray:
+        args = m[pick], n[pick], k[pick]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.minimum(1.0, _mass(start[pick], *args) * _declining_sum(start[pick], *args, step))
+
+    inside = valid & (q > low) & (q <= high)
+    above, below = inside & (q > mode), inside & (q <= mode)
+    upper[above] = tail(above, q, 1)
+    upper[below] = 1.0 - tail(below, q - 1, -1)
+    inside = valid & (q >= low) & (q < high)
+    above, below = inside & (q >= mode), inside & (q < mode)
+    lower[above] = 1.0 - tail(above, q + 1, 1)
+    lower[below] = tail(below, q, -1)
+    return upper, lower
+
+
+TAILS = T.StructType([T.StructField("upper", T.DoubleType()), T.StructField("lower", T.DoubleType())])
+
+
+@F.pandas_udf(TAILS)
+def _hypergeom_tails(q: pd.Series, m: pd.Series, n: pd.Series, k: pd.Series) -> pd.DataFrame:
+    upper, lower = hypergeom_tail_values(q, m, n, k)
+    return pd.DataFrame({"upper": upper, "lower": lower})
+
+
+def hypergeom_tails(q, m, n, k) -> Column:
+    """Struct of ``upper`` = P(X ≥ q) and ``lower`` = P(X ≤ q); null when more is drawn than there is."""
+    return _hypergeom_tails(*[_double(c) for c in (q, m, n, k)])
 
 
 def _special(name: str, *args: Column) -> Column:

@@ -35,14 +35,12 @@ def profile_corr(wide: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def _spread(long: DataFrame, chunks: int, own: str, own_blocks: int, other: str, other_blocks: int) -> DataFrame:
     """Place every matrix entry in its row chunk and column block, once per block of the other side."""
-    return long.select(
-        F.pmod(F.xxhash64("row"), F.lit(chunks)).alias("chunk"),
-        F.pmod(F.xxhash64("col"), F.lit(own_blocks)).alias(own),
-        F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1))).cast("long").alias(other),
-        "row",
-        "col",
-        "value",
-    )
+    chunk = F.pmod(F.xxhash64("row"), F.lit(chunks)).alias("chunk")
+    block = F.pmod(F.xxhash64("col"), F.lit(own_blocks)).cast("int").alias(own)
+    others = F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1))).alias(other)
+    # fresh column identities, so that a matrix can be multiplied with itself
+    fresh = [F.col(c).alias(c) for c in ("row", "col", "value")]
+    return long.select(chunk, block, others, *fresh)
 
 
 def _block_product(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -4,40 +4,57 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from guidescape.functions.tails import hypergeom_lower, hypergeom_upper
+from guidescape.functions.tails import hypergeom_tails
 from guidescape.operators.counts import cluster_guide_counts, guide_gene_hits
 from guidescape.operators.ranking import probability_bucket, tie_ranks
-from guidescape.runtime import salted_lookup, total
+from guidescape.runtime import checkpointed, salted_lookup, total
 
 
 def hypergeom_test(cells: DataFrame, guide_genes: DataFrame) -> DataFrame:
     """Over- and under-representation of each (guide, gene) seen in a cluster.
 
     Cells are read once and collapsed to (cluster, guide) counts before anything is joined; hits, draws, cluster sizes and
-    the grand total all derive from those counts. Tails depend on (cluster, hits, draws) only and are computed once per
-    distinct combination. Duplicate association rows count as often as they occur.
+    the grand total all derive from those counts. Tails depend on (cluster, hits, draws) only, so they and their correction
+    are worked out once per distinct combination and looked up by the pairs. Duplicate association rows count as often as
+    they occur.
     """
-    counts = cluster_guide_counts(cells)
+    counts = checkpointed(cluster_guide_counts(cells))
     sizes = counts.groupBy("louvain").agg(F.sum("n").alias("m"))
-    everything = total(counts, F.sum("n"))
     hits = guide_gene_hits(counts, guide_genes)
     draws = hits.groupBy("guide", "gene").agg(F.sum("n").alias("k"))
-    tested = hits.join(draws, ["guide", "gene"])
-    combos = tested.groupBy("louvain", "n", "k").agg(F.count(F.lit(1)).alias("_pairs")).join(sizes, "louvain")
-    rest = everything - F.col("m")
-    tails = combos.select(
-        "louvain",
-        "n",
-        "k",
-        hypergeom_upper(F.col("n"), F.col("m"), rest, F.col("k")).alias("p_value_enrich"),
-        hypergeom_lower(F.col("n"), F.col("m"), rest, F.col("k")).alias("p_value_deplete"),
+    tested = checkpointed(hits.join(draws, ["guide", "gene"]))
+    combos = (
+        tested.groupBy("louvain", "n", "k")
+        .agg(F.count(F.lit(1)).alias("_pairs"))
+        .join(sizes, "louvain")
+        .withColumn("_rest", total(sizes, F.sum("m")) - F.col("m"))
+        .withColumn("_tails", hypergeom_tails(F.col("n"), F.col("m"), F.col("_rest"), F.col("k")))
+        .select(
+            "louvain",
+            "n",
+            "k",
+            "_pairs",
+            F.col("_tails.upper").alias("p_value_enrich"),
+            F.col("_tails.lower").alias("p_value_deplete"),
+        )
+    )
+    sides = checkpointed(combos).unpivot(
+        ["louvain", "n", "k", "_pairs"], ["p_value_enrich", "p_value_deplete"], "_side", "_p"
+    )
+    adjusted = bh_adjust(sides, "_p", ["louvain", "_side"], "_q", "_pairs")
+
+    def pick(value: str, side: str, name: str) -> Column:
+        return F.max(F.when(F.col("_side") == f"p_value_{side}", F.col(value))).alias(name)
+
+    tails = adjusted.groupBy("louvain", "n", "k").agg(
+        pick("_p", "enrich", "p_value_enrich"),
+        pick("_p", "deplete", "p_value_deplete"),
+        pick("_q", "enrich", "p_adj_enrich"),
+        pick("_q", "deplete", "p_adj_deplete"),
     )
-    scored = salted_lookup(tested, tails, ["louvain", "n", "k"])
-    out = bh_adjust(scored, "p_value_enrich", ["louvain"], "p_adj_enrich")
-    out = bh_adjust(out, "p_value_deplete", ["louvain"], "p_adj_deplete")
-    return out.select(
+    return salted_lookup(tested, tails, ["louvain", "n", "k"]).select(
         "louvain",
         "guide",
         "gene",
@@ -49,10 +66,20 @@ def hypergeom_test(cells: DataFrame, guide_genes: DataFrame) -> DataFrame:
     )
 
 
-def bh_adjust(df: DataFrame, p: str, by: Sequence[str] = (), out: str = "qval") -> DataFrame:
-    """Benjamini–Hochberg adjusted ``p`` within each group; null p-values stay null and are not counted."""
+def significant_pairs(final: DataFrame, alpha: float = 0.05, p: str = "p_adj_enrich") -> DataFrame:
+    """Tested pairs whose p-value lies below ``alpha``."""
+    return final.where(F.col(p) < alpha)
+
+
+def bh_adjust(
+    df: DataFrame, p: str, by: Sequence[str] = (), out: str = "qval", weight: str | None = None
+) -> DataFrame:
+    """Benjamini–Hochberg adjusted ``p`` within each group; null p-values stay null and are not counted.
+
+    With ``weight`` a row stands for that many tests.
+    """
     by = list(by)
-    ranked = tie_ranks(df.select(*by, p), p, probability_bucket, by).withColumn(
+    ranked = tie_ranks(df, p, probability_bucket, by, weight).withColumn(
         "_raw", F.col(p) * F.col("group_rows") / (F.col("below") + F.col("ties"))
     )
     lowest = ranked.groupBy(*by, "_bucket").agg(F.min("_raw").alias("_lowest"))
@@ -104,8 +131,8 @@ def melt_p_values(df: DataFrame) -> DataFrame:
 def facet_histogram(df: DataFrame, value: str, by: Sequence[str], bins: int = 100) -> DataFrame:
     """Counts in equal-width bins between each group's own minimum and maximum."""
     by = list(by)
-    ends = df.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     distinct = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    ends = distinct.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     share = (F.col(value) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
     bin_no = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * bins).cast("int") + 1, F.lit(bins))
     return (

@@ -7,8 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from guidescape.functions.tails import hypergeom_upper
-from guidescape.runtime import total
+from guidescape.functions.tails import hypergeom_tails
+from guidescape.runtime import checkpointed, total
 
 # Fixed value: expression above this counts as detected.
 DETECTION_LIMIT = 0.0001
@@ -86,7 +86,7 @@ def gene_detection_summary(detected: DataFrame) -> DataFrame:
 
 def size_factors(expr: DataFrame) -> DataFrame:
     """Cell total over the geometric mean of all cell totals."""
-    totals = expr.groupBy("cell_id").agg(F.sum("value").alias("_total"))
+    totals = checkpointed(expr.groupBy("cell_id").agg(F.sum("value").alias("_total")))
     centre = total(totals, F.avg(F.log("_total")))
     return totals.select("cell_id", F.exp(F.log("_total") - centre).alias("size_factor"))
 
@@ -135,8 +135,8 @@ def genelist_enrichment(hits: DataFrame, cells: DataFrame) -> DataFrame:
     per = hits.groupBy("list_id", "louvain").agg(F.count(F.lit(1)).alias("n"))
     drawn = per.groupBy("list_id").agg(F.sum("n").alias("k"))
     rows = per.join(drawn, "list_id").join(sizes, "louvain").withColumn("_rest", everything - F.col("m"))
-    tail = hypergeom_upper(F.col("n"), F.col("m"), F.col("_rest"), F.col("k"))
-    return rows.select("list_id", "louvain", "n", "k", "m", tail.alias("p_value"))
+    tails = hypergeom_tails(F.col("n"), F.col("m"), F.col("_rest"), F.col("k"))
+    return rows.select("list_id", "louvain", "n", "k", "m", tails["upper"].alias("p_value"))
 
 
 def marker_overlay(coords: DataFrame, expr: DataFrame, markers: list[str]) -> DataFrame:

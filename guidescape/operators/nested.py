@@ -16,12 +16,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from guidescape.functions.tails import chi2_upper
 from guidescape.operators.enrichment import bh_adjust
 from guidescape.operators.ranking import exact_quantiles
+from guidescape.runtime import checkpointed
 
 MAX_DESIGN = 2048
 
 
 def _finish(scored: DataFrame) -> DataFrame:
     """From (gene, lr, df), null lr meaning no fit, to the output contract."""
+    scored = checkpointed(scored)
     ok = F.col("lr").isNotNull() & ~F.isnan("lr") & (F.col("df") > 0)
     tested = scored.select(
         "gene", F.when(ok, "OK").otherwise("FAIL").alias("status"), F.when(ok, F.col("lr")).alias("lr"), "df"
@@ -40,13 +42,13 @@ def de_one_factor(expr: DataFrame, factor: str, family: str = "gaussian") -> Dat
 
     ``family`` is ``gaussian`` or ``inverse_gaussian`` (shared shape; genes with a value ≤ 0 fail).
     """
-    per = expr.groupBy("gene", factor).agg(
+    per = checkpointed(expr.groupBy("gene", factor).agg(
         F.count("value").alias("n"),
         F.avg("value").alias("mean"),
         F.var_pop("value").alias("var"),
         F.sum(F.when(F.col("value") > 0, 1 / F.col("value"))).alias("inverse"),
         F.min("value").alias("low"),
-    )
+    ))
     centre = F.sum(F.col("n") * F.col("mean")) / F.sum("n")
     whole = per.groupBy("gene").agg(
         F.sum("n").alias("n"),
@@ -89,10 +91,6 @@ def _entry(j: Column, x: Column) -> Column:
     return F.struct(j.cast("int").alias("j"), x.cast("double").alias("x"))
 
 
-def constant() -> Term:
-    return Term(1, lambda base: F.array(_entry(F.lit(base), F.lit(1.0))))
-
-
 def factor_term(cells: DataFrame, col: str) -> Term:
     """One indicator column per level. Levels are the design's own width, so their number is checked."""
     listed = cells.select(F.col(col).cast("string").alias("level")).distinct().orderBy("level").limit(MAX_DESIGN + 1)
@@ -139,88 +137,102 @@ def interaction(left: Term, right: Term) -> Term:
     return Term(left.width * right.width, entries)
 
 
-def design(cells: DataFrame, terms: Sequence[Term]) -> tuple[DataFrame, int]:
-    """Design rows and the number of columns."""
-    parts, base = [], 0
+def design(cells: DataFrame, terms: Sequence[Term]) -> tuple[DataFrame, list[int]]:
+    """Design rows, with the constant as column 0, and the first column index behind each term."""
+    parts, ends, base = [F.array(_entry(F.lit(0), F.lit(1.0)))], [1], 1
     for term in terms:
         parts.append(term.entries(base))
         base += term.width
+        ends.append(base)
     if base > MAX_DESIGN:
         raise ValueError(f"a design of {base} columns is too wide (limit {MAX_DESIGN})")
     rows = F.filter(F.flatten(F.array(*parts)), lambda e: e["x"] != 0)
-    return cells.select("cell_id", rows.alias("entries")), base
+    return cells.select("cell_id", rows.alias("entries")), ends
 
 
 def _gram(rows: DataFrame, width: int) -> np.ndarray:
     """XᵀX. Rows hold a handful of entries, so pairs within a row are few; the result is width × width."""
-    i = rows.select("entries", F.explode("entries").alias("a"))
-    pairs = i.select("a", F.explode("entries").alias("b")).groupBy(
-        F.col("a.j").alias("i"), F.col("b.j").alias("j")
-    ).agg(F.sum(F.col("a.x") * F.col("b.x")).alias("v"))
+    pairs = (
+        rows.select("entries", F.explode("entries").alias("a"))
+        .select("a", F.explode("entries").alias("b"))
+        .groupBy(F.col("a.j").alias("i"), F.col("b.j").alias("j"))
+        .agg(F.sum(F.col("a.x") * F.col("b.x")).alias("v"))
+    )
     found = pairs.toPandas()
     out = np.zeros((width, width))
     out[found["i"], found["j"]] = found["v"]
     return out
 
 
-def _explained(centred: DataFrame, rows: DataFrame, width: int, out: str) -> tuple[DataFrame, int]:
-    """Sum of squares of every gene that a design explains, and the rank of the design."""
-    gram = _gram(rows, width)
-    inverse = np.linalg.pinv(gram, rcond=1e-10, hermitian=True)
-    rank = int(np.linalg.matrix_rank(gram, tol=1e-10 * max(1.0, np.abs(gram).max()), hermitian=True))
-    products = (
-        centred.join(rows, "cell_id")
-        .select("gene", "y", F.explode("entries").alias("e"))
-        .groupBy("gene", F.col("e.j").alias("j"))
-        .agg(F.sum(F.col("y") * F.col("e.x")).alias("v"))
-        .groupBy("gene")
-        .agg(F.collect_list("j").alias("js"), F.collect_list("v").alias("vs"))
-    )
-
-    def form(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            values = []
-            for js, vs in zip(pdf["js"], pdf["vs"]):
-                at, v = np.asarray(js), np.asarray(vs)
-                values.append(float(v @ inverse[np.ix_(at, at)] @ v))
-            yield pd.DataFrame({"gene": pdf["gene"], out: np.array(values, dtype=float)})
+def de_nested(expr: DataFrame, cells: DataFrame, reduced: Sequence[Term], extra: Sequence[Term]) -> DataFrame:
+    """For every gene: constant + ``reduced`` + ``extra`` against constant + ``reduced``.
 
-    return products.mapInPandas(form, f"gene string, {out} double"), rank
-
-
-def de_nested(expr: DataFrame, cells: DataFrame, full: Sequence[Term], reduced: Sequence[Term]) -> DataFrame:
-    """Full against reduced model for every gene. Degrees of freedom come from ranks, so a redundant term fails.
-
-    ``expr`` is complete (cell_id, gene, value); both models contain the constant, explicitly or as a sum of indicators.
+    The matrix is read once: sums per (gene, design column) serve both models, whose explained sums of squares follow from
+    the cells-only cross-product. Degrees of freedom come from ranks, so a redundant extra term fails.
     """
-    pick = cells.select("cell_id").distinct()
-    own = expr.join(pick, "cell_id", "left_semi")
-    stats = own.groupBy("gene").agg(
-        F.avg("value").alias("_mean"), F.var_pop("value").alias("_var"), F.count("value").alias("n")
+    rows, ends = design(cells, [*reduced, *extra])
+    gram = _gram(rows, ends[-1])
+    small = ends[len(reduced)]
+
+    def inverse_and_rank(g: np.ndarray) -> tuple[np.ndarray, int]:
+        scale = np.sqrt(np.maximum(np.diag(g), 1e-300))
+        unit = g / np.outer(scale, scale)
+        rank = int(np.linalg.matrix_rank(unit, tol=1e-10 * len(g), hermitian=True))
+        return np.linalg.pinv(unit, rcond=1e-10, hermitian=True) / np.outer(scale, scale), rank
+
+    inverse_full, rank_full = inverse_and_rank(gram)
+    inverse_small, rank_small = inverse_and_rank(gram[:small, :small])
+    ones = gram[0]
+
+    sums = (
+        expr.select("cell_id", "gene", "value")
+        .join(rows, "cell_id")
+        .select("gene", "value", F.explode("entries").alias("e"))
+        .groupBy("gene", F.col("e.j").alias("j"))
+        .agg(
+            F.sum(F.col("value") * F.col("e.x")).alias("v"),
+            F.count("value").alias("n"),
+            F.avg("value").alias("mean"),
+            F.var_pop("value").alias("var"),
+        )
     )
-    centred = own.join(stats.select("gene", "_mean"), "gene").select(
-        "cell_id", "gene", (F.col("value") - F.col("_mean")).alias("y")
+    constant = F.col("j") == 0
+    per_gene = sums.groupBy("gene").agg(
+        F.collect_list("j").alias("js"),
+        F.collect_list("v").alias("vs"),
+        F.max(F.when(constant, F.col("n"))).alias("n"),
+        F.max(F.when(constant, F.col("mean"))).alias("mean"),
+        F.max(F.when(constant, F.col("var"))).alias("var"),
     )
-    more, rank_full = _explained(centred, *design(cells, full), "more")
-    less, rank_reduced = _explained(centred, *design(cells, reduced), "less")
-    square = F.col("_var") * F.col("n")
-    rows = stats.join(more, "gene").join(less, "gene")
-    rss1, rss0 = square - F.col("more"), square - F.col("less")
-    ratio = F.when((rss1 > 1e-12 * square) & (rss0 > 0), F.greatest(F.col("n") * F.log(rss0 / rss1), F.lit(0.0)))
-    return _finish(rows.select("gene", ratio.alias("lr"), F.lit(rank_full - rank_reduced).alias("df")))
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ratios = []
+            for row in pdf.itertuples(index=False):
+                xy = np.zeros(len(ones))
+                xy[np.asarray(row.js)] = row.vs
+                xy -= row.mean * ones  # centring changes neither model, both contain the constant
+                square = row.var * row.n
+                rss1 = square - xy @ inverse_full @ xy
+                rss0 = square - xy[:small] @ inverse_small @ xy[:small]
+                good = square > 0 and rss1 > 1e-12 * square
+                ratios.append(max(0.0, row.n * np.log(rss0 / rss1)) if good else np.nan)
+            yield pd.DataFrame({"gene": pdf["gene"], "lr": np.array(ratios, dtype=float)})
+
+    scored = per_gene.mapInPandas(fit, "gene string, lr double")
+    return _finish(scored.withColumn("df", F.lit(rank_full - rank_small)))
 
 
 def de_pseudotime(expr: DataFrame, cells: DataFrame, col: str = "pseudotime", cutoff: float | None = 1e-4) -> DataFrame:
     """Spline of pseudotime against the constant; with ``cutoff`` only genes below that q-value are kept."""
-    out = de_nested(expr, cells, [constant(), spline_term(cells, col)], [constant()])
+    out = de_nested(expr, cells, [], [spline_term(cells, col)])
     return out if cutoff is None else out.where((F.col("status") == "OK") & (F.col("qval") < cutoff))
 
 
 def branch_test(expr: DataFrame, cells: DataFrame, col: str = "pseudotime", branch: str = "branch") -> DataFrame:
     """Spline × branch against one spline: gene, pval, qval, most significant first."""
     spline, sides = spline_term(cells, col), factor_term(cells, branch)
-    full = [constant(), spline, sides, interaction(spline, sides)]
-    out = de_nested(expr, cells, full, [constant(), spline])
+    out = de_nested(expr, cells, [spline], [sides, interaction(spline, sides)])
     return out.select("gene", "status", "pval", "qval").orderBy("qval", "gene")
 
 

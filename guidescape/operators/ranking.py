@@ -11,8 +11,6 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from guidescape.runtime import total
-
 PER_DECADE = 256
 
 
@@ -33,14 +31,22 @@ def range_bucket(lowest: Column, highest: Column, buckets: int = 4096) -> Callab
 
 
 def tie_ranks(
-    df: DataFrame, value: str, bucket: Callable[[Column], Column], by: Sequence[str] = ()
+    df: DataFrame,
+    value: str,
+    bucket: Callable[[Column], Column],
+    by: Sequence[str] = (),
+    weight: str | None = None,
 ) -> DataFrame:
-    """One row per (``by``, distinct value): ``ties`` rows share it, ``below`` rows are smaller, of ``group_rows``."""
+    """One row per (``by``, distinct value): ``ties`` rows share it, ``below`` rows are smaller, of ``group_rows``.
+
+    With ``weight`` a row stands for that many rows.
+    """
     by = list(by)
+    rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
     ties = (
         df.where(F.col(value).isNotNull())
         .groupBy(*by, value)
-        .agg(F.count(F.lit(1)).alias("ties"))
+        .agg(rows.alias("ties"))
         .withColumn("_bucket", bucket(F.col(value)))
     )
     histogram = ties.groupBy(*by, "_bucket").agg(F.sum("ties").alias("_held"))
@@ -80,25 +86,22 @@ def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[float]) -
 
 
 def lowest_by_hash(df: DataFrame, n: int, key: str, seed: int) -> DataFrame:
-    """Exactly the ``n`` rows with the smallest seeded hash of ``key`` (ties by key), for any ``n``.
+    """Exactly the ``n`` rows with the smallest seeded hash of a unique ``key`` (ties by key), for any ``n``.
 
-    A histogram over 65,536 equal slices of the hash range finds the slice that holds the cut; only that slice is ranked.
+    A histogram over 65,536 equal slices of the hash range finds the slice that holds the cut, only that slice is ranked,
+    and the answer itself is a plain filter on the hash.
     """
-    slices = 65536
-    hashed = df.withColumn("_hash", F.xxhash64(F.lit(seed), F.col(key).cast("string")))
-    sliced = hashed.withColumn("_slice", F.shiftright(F.col("_hash"), 48))
-    histogram = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_held"))
-    running = histogram.select(
-        "_slice", "_held", F.sum("_held").over(Window.orderBy("_slice")).alias("_upto")
-    )
-    cut = total(running.where(F.col("_upto") >= n), F.min("_slice"))
-    inside_cut = total(running.where(F.col("_upto") < n), F.max("_upto"))
-    whole = sliced.where(F.col("_slice") < F.coalesce(cut, F.lit(slices)))
+    value = F.xxhash64(F.lit(seed), F.col(key).cast("string"))
+    hashed = df.select(key, value.alias("_hash"), F.shiftright(value, 48).alias("_slice"))
+    histogram = hashed.groupBy("_slice").agg(F.count(F.lit(1)).alias("_held"))
+    running = histogram.withColumn("_upto", F.sum("_held").over(Window.orderBy("_slice")))
+    cut = running.where(F.col("_upto") >= n).orderBy("_slice").first()
+    if cut is None:
+        return df
+    wanted = n - (cut["_upto"] - cut["_held"])
     rank = F.row_number().over(Window.partitionBy("_slice").orderBy("_hash", key))
-    edge = (
-        sliced.where(F.col("_slice") == cut)
-        .withColumn("_rank", rank)
-        .where(F.col("_rank") <= F.lit(n) - F.coalesce(inside_cut, F.lit(0)))
-        .drop("_rank")
-    )
-    return whole.unionByName(edge).drop("_hash", "_slice")
+    edge = hashed.where(F.col("_slice") == cut["_slice"]).withColumn("_rank", rank)
+    last = edge.where(F.col("_rank") == wanted).first()
+    if last is None:
+        return df.limit(0)
+    return df.where((value < last["_hash"]) | ((value == last["_hash"]) & (F.col(key) <= F.lit(last[key]))))

@@ -93,7 +93,7 @@ VIEWS = {
                least(1.0, min(raw_e) over (partition by louvain order by p_value_enrich desc)) as p_adj_enrich,
                least(1.0, min(raw_d) over (partition by louvain order by p_value_deplete desc)) as p_adj_deplete
         from ranked""",
-    "significant": "select * from final where round(p_adj_enrich, 9) < 0.05",
+    "significant": "select * from final where round(p_value_enrich, 9) < 0.05",
     "top10": """
         select louvain, guide, n from counts where guide in (select guide from sigpos)
         qualify row_number() over (partition by louvain order by n desc, guide) <= 10""",
