@@ -85,22 +85,27 @@ def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[float]) -
     return out
 
 
+def seeded_hash(key: str, seed: int) -> Column:
+    """Hexadecimal digest of seed and key; its text order is its numeric order."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+
+
 def lowest_by_hash(df: DataFrame, n: int, key: str, seed: int) -> DataFrame:
     """Exactly the ``n`` rows with the smallest seeded hash of a unique ``key`` (ties by key), for any ``n``.
 
-    A histogram over 65,536 equal slices of the hash range finds the slice that holds the cut, only that slice is ranked,
-    and the answer itself is a plain filter on the hash.
+    A histogram over the 65,536 four-digit prefixes of the hash finds the prefix that holds the cut, only the rows of that
+    prefix are ranked, and the answer itself is a plain filter on the hash.
     """
-    value = F.xxhash64(F.lit(seed), F.col(key).cast("string"))
-    hashed = df.select(key, value.alias("_hash"), F.shiftright(value, 48).alias("_slice"))
-    histogram = hashed.groupBy("_slice").agg(F.count(F.lit(1)).alias("_held"))
-    running = histogram.withColumn("_upto", F.sum("_held").over(Window.orderBy("_slice")))
-    cut = running.where(F.col("_upto") >= n).orderBy("_slice").first()
+    value = seeded_hash(key, seed)
+    hashed = df.select(key, value.alias("_hash"), F.substring(value, 1, 4).alias("_prefix"))
+    histogram = hashed.groupBy("_prefix").agg(F.count(F.lit(1)).alias("_held"))
+    running = histogram.withColumn("_upto", F.sum("_held").over(Window.orderBy("_prefix")))
+    cut = running.where(F.col("_upto") >= n).orderBy("_prefix").first()
     if cut is None:
         return df
     wanted = n - (cut["_upto"] - cut["_held"])
-    rank = F.row_number().over(Window.partitionBy("_slice").orderBy("_hash", key))
-    edge = hashed.where(F.col("_slice") == cut["_slice"]).withColumn("_rank", rank)
+    rank = F.row_number().over(Window.partitionBy("_prefix").orderBy("_hash", key))
+    edge = hashed.where(F.col("_prefix") == cut["_prefix"]).withColumn("_rank", rank)
     last = edge.where(F.col("_rank") == wanted).first()
     if last is None:
         return df.limit(0)

@@ -190,14 +190,83 @@ VIEWS = {
         group by gene""",
 }
 
-# χ² tail with four degrees of freedom, then Benjamini–Hochberg over genes
-_FOUR_DF = """
-    select gene, 'OK' as status, round(p, 8) + 0.0 as pval,
-           round(least(1.0, min(p * n / r) over (order by p desc)), 8) + 0.0 as qval
-    from (select gene, p, count(*) over () as n, count(*) over (order by p) as r
-          from (select gene, exp(-lr / 2) * (1 + lr / 2) as p from {source}))"""
+# Natural cubic spline of pseudotime (terciles as inner knots), made orthogonal column by column, once over all cells
+# and once inside each branch; a residual sum of squares is then a difference of squares.
+VIEWS |= {
+    "knots": """
+        select lo, hi, (a - lo) / (hi - lo) as ka, (b - lo) / (hi - lo) as kb
+        from (select min(pseudotime) as lo, max(pseudotime) as hi,
+                     quantile_cont(pseudotime, cast(1 as double) / 3) as a,
+                     quantile_cont(pseudotime, cast(2 as double) / 3) as b from timed)""",
+    "bends": """
+        select cell_id, branch, s, power(greatest(s, 0), 3) as e0,
+               power(greatest(s - ka, 0), 3) / (1 - ka) as e1, power(greatest(s - kb, 0), 3) / (1 - kb) as e2
+        from (select cell_id, branch, (pseudotime - lo) / (hi - lo) as s, ka, kb from timed, knots)""",
+    "framed": """
+        select 'all' as model, 0 as side, cell_id, s as b1, e0 - e2 as b2, e1 - e2 as b3 from bends
+        union all select 'split', branch, cell_id, s, e0 - e2, e1 - e2 from bends""",
+    "ortho1": """
+        select model, side, cell_id, b1 - avg(b1) over w as q1, b2 - avg(b2) over w as c2, b3 - avg(b3) over w as c3
+        from framed window w as (partition by model, side)""",
+    "ortho2": """
+        select model, side, cell_id, q1, c2 - q1 * sum(c2 * q1) over w / sum(q1 * q1) over w as q2,
+               c3 - q1 * sum(c3 * q1) over w / sum(q1 * q1) over w as d3
+        from ortho1 window w as (partition by model, side)""",
+    "ortho3": """
+        select model, side, cell_id, q1, q2, d3 - q2 * sum(d3 * q2) over w / sum(q2 * q2) over w as q3
+        from ortho2 window w as (partition by model, side)""",
+    "spline_fits": """
+        select gene, model, side, count(*) as n, var_pop(value) * count(*) as tss,
+               var_pop(value) * count(*) - power(sum(value * q1), 2) / sum(q1 * q1)
+               - power(sum(value * q2), 2) / sum(q2 * q2) - power(sum(value * q3), 2) / sum(q3 * q3) as rss
+        from expr join ortho3 using (cell_id) group by 1, 2, 3""",
+    "spline_lr": """
+        select gene, any_value(n) * ln(any_value(tss) / any_value(rss)) as lr
+        from spline_fits where model = 'all' group by 1""",
+    "branch_lr": """
+        select gene, sum(n) filter (model = 'all')
+                     * ln(sum(rss) filter (model = 'all') / sum(rss) filter (model = 'split')) as lr
+        from spline_fits group by 1""",
+    "nested_lr": """
+        select gene, any_value(small.n) * ln(any_value(small.rss) / sum(big.rss)) as lr
+        from (select gene, sum(n) as n, sum(rss) as rss from groups group by 1) small
+        join (select gene, var_pop(value) * count(*) as rss from expr group by gene, louvain, cell_id % 3) big
+        using (gene) group by 1""",
+    "flow": """
+        select a.cell_id, round(a.rho, 6) + 0.0 as rho_out, a.rho as rho,
+               coalesce(min(d) filter (b.rho > a.rho or (b.rho = a.rho and b.cell_id < a.cell_id)), max(d)) as delta,
+               arg_min(b.cell_id, (d, b.cell_id))
+                   filter (b.rho > a.rho or (b.rho = a.rho and b.cell_id < a.cell_id)) as parent
+        from rho a join dist on src = a.cell_id join rho b on dst = b.cell_id group by a.cell_id, a.rho""",
+    "centres": "select cell_id from flow order by rho * delta desc, cell_id limit 9",
+}
+
+
+def _erf(z: str) -> str:
+    """erf of a positive number as a series of positive terms."""
+    return (
+        f"list_sum(list_transform(range(0, 300), lambda i: exp((2 * i + 1) * ln({z}) - {z} * {z} - lgamma(i + 1.5))))"
+    )
+
 
-_MATERIALISED = {"dist", "knn", "tails", "tested", "cells", "guide_genes", "expr", "centred", "hits"}
+# upper tails of χ² with three, four and ten degrees of freedom
+_CHI3 = f"1 - {_erf('sqrt(lr / 2)')} + 2 / sqrt(pi()) * sqrt(lr / 2) * exp(-lr / 2)"
+_CHI4 = "exp(-lr / 2) * (1 + lr / 2)"
+_CHI10 = "exp(-lr / 2) * list_sum(list_transform(range(0, 5), lambda i: power(lr / 2, i) / gamma(i + 1)))"
+
+
+def _gene_test(source: str, tail: str, digits: int) -> str:
+    """p-values of likelihood ratios, then Benjamini–Hochberg over genes."""
+    return f"""
+        select gene, 'OK' as status, round(p, {digits}) + 0.0 as pval,
+               round(least(1.0, min(p * n / r) over (order by p desc)), {digits}) + 0.0 as qval
+        from (select gene, p, count(*) over () as n, count(*) over (order by p) as r
+              from (select gene, {tail} as p from {source}))"""
+
+
+_MATERIALISED = {
+    "dist", "knn", "tails", "tested", "cells", "guide_genes", "expr", "centred", "hits", "ortho3", "rho", "flow", "moran"
+}
 
 
 def _round(digits: int, *names: str) -> str:
@@ -237,6 +306,14 @@ def _pivot(source: str, value: str, digits: int) -> str:
 
 
 _BODIES = {
+    "sample_cells": """
+        select cell_id, louvain, guide from cells order by md5(concat('55:', cell_id)), cell_id limit 1000""",
+    "sample_fraction": """
+        select cell_id, louvain, guide from cells where substr(md5(concat('55:', cell_id)), 1, 8) < '0ccccccc'""",
+    "marker_subset": f"""
+        select cell_id, louvain, guide, gene, {_round(6, 'value')} from expr
+        where gene in ('g0', 'g1', 'g2', 'g3')
+          and cell_id in (select cell_id from matrix order by md5(concat('55:', cell_id)), cell_id limit 200)""",
     "expr_cluster_subset": f"select cell_id, louvain, guide, gene, {_round(6, 'value')} from expr where louvain in (1, 2)",
     "parse_guide": "select cell_id, guide_cov, guide from cells",
     "wt_share": """
@@ -444,22 +521,30 @@ _BODIES = {
             select cell_id, cell_id from matrix
             union select r.cell_id, e.dst from reach r join both_ways e on r.seen = e.src)
         select cell_id, min(seen) as partition from reach group by 1""",
-    "density_rho_delta": """
-        select a.cell_id, round(a.rho, 6) + 0.0 as rho,
-               round(coalesce(min(d) filter (b.rho > a.rho or (b.rho = a.rho and b.cell_id < a.cell_id)), max(d)), 6) + 0.0
-                   as delta,
-               arg_min(b.cell_id, (d, b.cell_id))
-                   filter (b.rho > a.rho or (b.rho = a.rho and b.cell_id < a.cell_id)) as parent
-        from rho a join dist on src = a.cell_id join rho b on dst = b.cell_id group by a.cell_id, a.rho""",
+    "density_rho_delta": "select cell_id, rho_out as rho, round(delta, 6) + 0.0 as delta, parent from flow",
+    "density_peaks": """
+        , follow(cell_id, centre) as (
+            select cell_id, cell_id from centres
+            union select f.cell_id, g.centre from flow f join follow g on f.parent = g.cell_id
+            where f.cell_id not in (select cell_id from centres))
+        select * from follow""",
     "root_vertex": """
         select label as vertex, count(*) as n from matrix where guide = '0' group by 1 order by n desc, vertex limit 1""",
-    "morans_i": f"select gene, {_round(6, 'morans_i', 'morans_test_statistic')} from moran",
+    "morans_i": f"""
+        select gene, {_round(6, 'morans_i', 'morans_test_statistic', 'pval')},
+               round(least(1.0, min(pval * n / r) over (order by pval desc)), 6) + 0.0 as qval
+        from (select *, count(*) over () as n, count(*) over (order by pval) as r
+              from (select *, 0.5 - 0.5 * sign(morans_test_statistic)
+                              * {_erf('(abs(morans_test_statistic) / sqrt(2))')} as pval from moran))""",
     "morans_top3": f"""
         select gene, {_round(6, 'morans_test_statistic')} from moran order by moran.morans_test_statistic desc, gene limit 3""",
-    "de_one_factor": _FOUR_DF.format(source="gaussian"),
-    "de_inverse_gaussian": _FOUR_DF.format(source="inverse_gaussian"),
+    "de_one_factor": _gene_test("gaussian", _CHI4, 8),
+    "de_inverse_gaussian": _gene_test("inverse_gaussian", _CHI4, 8),
+    "de_nested": _gene_test("nested_lr", _CHI10, 6),
+    "de_pseudotime": _gene_test("spline_lr", _CHI3, 6),
+    "branch_test": _gene_test("branch_lr", _CHI4, 6),
     "ordering_genes": f"""
-        select gene, qval from ({_FOUR_DF.format(source='gaussian')}) order by qval, gene limit 200""",
+        select gene, qval from ({_gene_test('gaussian', _CHI4, 8)}) order by qval, gene limit 200""",
     "pseudotime_profile": """
         select gene, bin, round(m, 6) + 0.0 as mean,
                round((m - avg(m) over (partition by gene)) / nullif(stddev_samp(m) over (partition by gene), 0), 6) + 0.0 as z

@@ -61,7 +61,7 @@ def _sample_fraction(v: Views) -> DataFrame:
 
 @partial(query, name="marker_subset")
 def _marker_subset(v: Views) -> DataFrame:
-    return marker_subset(v.expr, v.matrix, ["g0", "g1", "g2", "g3"], 200)
+    return _rounded(marker_subset(v.expr, v.matrix, ["g0", "g1", "g2", "g3"], 200), 6, "value")
 
 
 # --- labels and reshaping ----------------------------------------------------------------------------------------
@@ -634,8 +634,7 @@ def _moran(v: Views) -> DataFrame:
 
 @query
 def morans_i(v: Views) -> DataFrame:
-    out = _moran(v).select("gene", "morans_i", "morans_test_statistic")
-    return _rounded(out, 6, "morans_i", "morans_test_statistic")
+    return _rounded(_moran(v), 6, "morans_i", "morans_test_statistic", "pval", "qval")
 
 
 @query
@@ -659,6 +658,15 @@ def de_inverse_gaussian(v: Views) -> DataFrame:
 
 @query
 def de_nested(v: Views) -> DataFrame:
+    """Cluster against cluster × a third of the cells: ten further means."""
+    third = F.concat_ws("-", F.col("louvain").cast("string"), (F.col("cell_id") % 3).cast("string"))
+    cells = v.timed.withColumn("third", third)
+    reduced, extra = nested.factor_term(cells, "louvain"), nested.factor_term(cells, "third")
+    return _rounded(nested.de_nested(v.expr, cells, [reduced], [extra]), 6, "pval", "qval")
+
+
+@query
+def de_nested_additive(v: Views) -> DataFrame:
     cells = v.timed
     louvain, guide = nested.factor_term(cells, "louvain"), nested.factor_term(cells, "guide")
     out = nested.de_nested(v.expr, cells, reduced=[louvain], extra=[guide])

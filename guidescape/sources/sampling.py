@@ -6,10 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from guidescape.operators.ranking import lowest_by_hash
+from guidescape.operators.ranking import lowest_by_hash, seeded_hash
 
 SEED = 55
-STEPS = 1 << 30
+STEPS = 1 << 32
 
 
 def sample_cells(cells: DataFrame, n: int, seed: int = SEED) -> DataFrame:
@@ -21,8 +21,8 @@ def sample_fraction(cells: DataFrame, fraction: float, seed: int = SEED) -> Data
     """About ``fraction`` of the cells; 1 keeps every row."""
     if fraction >= 1:
         return cells
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("cell_id").cast("string")), F.lit(STEPS))
-    return cells.where(draw < int(fraction * STEPS))
+    limit = f"{int(fraction * STEPS):08x}"
+    return cells.where(F.substring(seeded_hash("cell_id", seed), 1, 8) < limit)
 
 
 def marker_subset(expr: DataFrame, cells: DataFrame, markers: Sequence[str], n: int, seed: int = SEED) -> DataFrame:
