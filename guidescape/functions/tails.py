@@ -136,9 +136,7 @@ def _special(name: str, *args: Column) -> Column:
 def chi2_upper(stat, df) -> Column:
     """P(χ²(df) ≥ stat)."""
     stat, df = _double(stat), _double(df)
-    return F.when(stat <= 0, 1.0).otherwise(
-        _special("Gamma.regularizedGammaQ", df / 2, F.greatest(stat, F.lit(0.0)) / 2)
-    )
+    return F.when(stat <= 0, 1.0).otherwise(_special("Gamma.regularizedGammaQ", df / 2, stat / 2))
 
 
 def normal_upper(z) -> Column:

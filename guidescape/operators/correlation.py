@@ -12,6 +12,7 @@ from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame, functions as F
 
 from guidescape.functions.tails import student_two_sided
+from guidescape.runtime import checkpointed
 
 ROW_CHUNK = 2048
 COLUMN_BLOCK = 256
@@ -60,17 +61,31 @@ def _block_product(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def cross_product(a: DataFrame, b: DataFrame) -> DataFrame:
+def _column_stats(long: DataFrame) -> DataFrame:
+    """Rows, mean and centred length of every column: one pass over the matrix, one row per column."""
+    return checkpointed(
+        long.groupBy("col").agg(
+            F.count("value").alias("_rows"),
+            F.avg("value").alias("_mean"),
+            F.sqrt(F.var_pop("value") * F.count("value")).alias("_length"),
+        )
+    )
+
+
+def cross_product(
+    a: DataFrame, b: DataFrame, stats_a: DataFrame | None = None, stats_b: DataFrame | None = None
+) -> DataFrame:
     """Aᵀ·B of two long matrices (row, col, value), as (col_a, col_b, value).
 
     Rows are cut into chunks and columns into blocks of fixed expected size; each task multiplies one chunk of one block
     pair, and the partial products are added up by Spark. No task sees a whole column and nothing reaches the driver.
     """
-    shape_a = a.agg(F.count_distinct("row").alias("rows"), F.count_distinct("col").alias("cols")).first()
-    cols_b = b.agg(F.count_distinct("col").alias("cols")).first()["cols"]
-    chunks = max(1, math.ceil(shape_a["rows"] / ROW_CHUNK))
-    blocks_a = max(1, math.ceil(shape_a["cols"] / COLUMN_BLOCK))
-    blocks_b = max(1, math.ceil(cols_b / COLUMN_BLOCK))
+    stats_a = _column_stats(a) if stats_a is None else stats_a
+    stats_b = _column_stats(b) if stats_b is None else stats_b
+    shape = stats_a.agg(F.max("_rows").alias("rows"), F.count(F.lit(1)).alias("cols")).first()
+    chunks = max(1, math.ceil((shape["rows"] or 0) / ROW_CHUNK))
+    blocks_a = max(1, math.ceil(shape["cols"] / COLUMN_BLOCK))
+    blocks_b = max(1, math.ceil(stats_b.count() / COLUMN_BLOCK))
     left = _spread(a, chunks, "block_a", blocks_a, "block_b", blocks_b)
     right = _spread(b, chunks, "block_b", blocks_b, "block_a", blocks_a)
     keys = ["chunk", "block_a", "block_b"]
@@ -82,12 +97,9 @@ def cross_product(a: DataFrame, b: DataFrame) -> DataFrame:
     return partial.groupBy("col_a", "col_b").agg(F.sum("value").alias("value"))
 
 
-def _standardised(long: DataFrame) -> DataFrame:
+def _standardised(long: DataFrame, stats: DataFrame) -> DataFrame:
     """Columns centred and scaled to unit length, so that products of columns are correlations."""
-    stats = long.groupBy("col").agg(
-        F.avg("value").alias("_mean"), F.sqrt(F.var_pop("value") * F.count("value")).alias("_length")
-    )
-    scaled = (F.col("value") - F.col("_mean")) / F.nullif(F.col("_length"), F.lit(0.0))
+    scaled = (F.col("value") - F.col("_mean")) / F.col("_length")
     return long.join(stats.where(F.col("_length") > 0), "col").select("row", "col", scaled.alias("value"))
 
 
@@ -96,7 +108,8 @@ def cross_corr(a: DataFrame, b: DataFrame) -> DataFrame:
 
     Constant columns have no correlation and give no row.
     """
-    product = cross_product(_standardised(a), _standardised(b))
+    stats_a, stats_b = _column_stats(a), _column_stats(b)
+    product = cross_product(_standardised(a, stats_a), _standardised(b, stats_b), stats_a, stats_b)
     bounded = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("value")))
     return product.select("col_a", "col_b", bounded.alias("r"))
 

@@ -187,7 +187,7 @@ def knn(points: DataFrame, k: int, block_rows: int = BLOCK_ROWS, max_pivots: int
     kind = layout.id_type
     found = _search(layout, bound, visit, f"src {kind}, dst {kind}, distance double")
     order = Window.partitionBy("src").orderBy("distance", "dst")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return checkpointed(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
 
 
 def local_density(
@@ -208,7 +208,7 @@ def local_density(
         visit,
         f"cell_id {layout.id_type}, rho double",
     )
-    return found.groupBy("cell_id").agg(F.sum("rho").alias("rho"))
+    return checkpointed(found.groupBy("cell_id").agg(F.sum("rho").alias("rho")))
 
 
 def nearest_denser(points: DataFrame, rho: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -261,7 +261,5 @@ def nearest_denser(points: DataFrame, rho: DataFrame, block_rows: int = BLOCK_RO
     )
     reach = far.agg(F.max("far").alias("_far")).scalar()
     out = weighted.select("cell_id", F.col("weight").alias("rho")).join(best, "cell_id", "left")
-    is_peak = F.col("cell_id") == F.lit(peak_id)
-    return out.select(
-        "cell_id", "rho", F.when(is_peak, reach).otherwise(F.col("_b.delta")).alias("delta"), F.col("_b.parent").alias("parent")
-    )
+    delta = F.when(F.col("cell_id") == F.lit(peak_id), reach).otherwise(F.col("_b.delta"))
+    return checkpointed(out.select("cell_id", "rho", delta.alias("delta"), F.col("_b.parent").alias("parent")))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from guidescape.functions.tails import normal_upper
 from guidescape.operators.components import _centred
 from guidescape.operators.enrichment import bh_adjust
-from guidescape.runtime import salted_lookup, total
+from guidescape.runtime import checkpointed, salted_lookup, total
 
 
 def morans_i(wide: DataFrame, genes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def morans_i(wide: DataFrame, genes: DataFrame, edges: DataFrame) -> DataFrame:
     tested = rows.select("gene", "morans_i", "morans_test_statistic").withColumn(
         "pval", normal_upper(F.col("morans_test_statistic"))
     )
-    return bh_adjust(tested, "pval")
+    return bh_adjust(checkpointed(tested), "pval")
 
 
 def top_spatial_genes(table: DataFrame, k: int = 3) -> DataFrame:

@@ -26,6 +26,7 @@ from guidescape.operators import (
     trajectory,
 )
 from guidescape.plans.views import CLUSTERS, CONTROL, Views
+from guidescape.runtime import checkpointed
 from guidescape.sources import marker_subset, sample_cells, sample_fraction
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -368,7 +369,7 @@ def cluster_corr(v: Views) -> DataFrame:
 
 
 def _matrix_long(wide: DataFrame) -> DataFrame:
-    return wide.unpivot("guide", COLUMNS, "col", "value").withColumnRenamed("guide", "row")
+    return checkpointed(wide).unpivot("guide", COLUMNS, "col", "value").withColumnRenamed("guide", "row")
 
 
 def _count_profile(v: Views) -> DataFrame:
@@ -392,7 +393,7 @@ def _profile_rows(v: Views) -> DataFrame:
 
 @query
 def gene_corr(v: Views) -> DataFrame:
-    rows = _profile_rows(v)
+    rows = checkpointed(_profile_rows(v))
     return _rounded(correlation.cross_corr(rows, rows), 6, "r")
 
 
@@ -405,7 +406,7 @@ def corr_pvalues(v: Views) -> DataFrame:
 
 def _cluster_genes_long(v: Views, cluster: int) -> DataFrame:
     filled = reshape.column_mean_fill(v.expr_scaffold, expression.guide_mean_expr(v.expr), cluster)
-    return filled.select(F.col("guide").alias("row"), F.col("gene").alias("col"), "value")
+    return checkpointed(filled.select(F.col("guide").alias("row"), F.col("gene").alias("col"), "value"))
 
 
 @query
