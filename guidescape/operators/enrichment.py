@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from guidescape.functions.tails import hypergeom_tails
 from guidescape.operators.counts import cluster_guide_counts, guide_gene_hits
 from guidescape.operators.ranking import probability_bucket, tie_ranks
-from guidescape.runtime import checkpointed, salted_lookup, total
+from guidescape.runtime import checkpointed, hot_keys, hot_lookup, total
 
 
 def hypergeom_test(cells: DataFrame, guide_genes: DataFrame) -> DataFrame:
@@ -40,7 +40,8 @@ def hypergeom_test(cells: DataFrame, guide_genes: DataFrame) -> DataFrame:
             F.col("_tails.lower").alias("p_value_deplete"),
         )
     )
-    sides = checkpointed(combos).unpivot(
+    combos = checkpointed(combos)
+    sides = combos.unpivot(
         ["louvain", "n", "k", "_pairs"], ["p_value_enrich", "p_value_deplete"], "_side", "_p"
     )
     adjusted = bh_adjust(sides, "_p", ["louvain", "_side"], "_q", "_pairs")
@@ -54,7 +55,8 @@ def hypergeom_test(cells: DataFrame, guide_genes: DataFrame) -> DataFrame:
         pick("_q", "enrich", "p_adj_enrich"),
         pick("_q", "deplete", "p_adj_deplete"),
     )
-    return salted_lookup(tested, tails, ["louvain", "n", "k"]).select(
+    common = hot_keys(combos, ["louvain", "n", "k"], "_pairs")
+    return hot_lookup(tested, tails, ["louvain", "n", "k"], common).select(
         "louvain",
         "guide",
         "gene",
@@ -93,7 +95,8 @@ def bh_adjust(
         p,
         F.least(F.lit(1.0), F.min("_raw").over(inside), F.col("_above")).alias(out),
     )
-    return salted_lookup(df, adjusted, [*by, p], "left").select(*df.columns, out)
+    common = hot_keys(ranked, [*by, p], "ties")
+    return hot_lookup(df, adjusted, [*by, p], common, "left").select(*df.columns, out)
 
 
 def qq_points(df: DataFrame, p: str) -> DataFrame:

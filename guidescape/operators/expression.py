@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from guidescape.functions.tails import hypergeom_tails
-from guidescape.runtime import checkpointed, total
+from guidescape.runtime import checkpointed, salted_lookup, total
 
 # Fixed value: expression above this counts as detected.
 DETECTION_LIMIT = 0.0001
@@ -117,9 +117,9 @@ def genelist_cells(expr: DataFrame, gene_lists: DataFrame, limit: float = DETECT
     """Cells that express every gene of a list; all lists (list_id, gene) are searched in one pass."""
     wanted = gene_lists.select("list_id", "gene").distinct()
     sizes = wanted.groupBy("list_id").agg(F.count(F.lit(1)).alias("_size"))
+    expressed = expr.where(F.col("value") > limit).select("cell_id", "louvain", "gene")
     found = (
-        expr.where(F.col("value") > limit)
-        .join(wanted, "gene")
+        salted_lookup(expressed, wanted, ["gene"])
         .groupBy("list_id", "cell_id", "louvain")
         .agg(F.count_distinct("gene").alias("_found"))
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from guidescape.runtime import checkpointed, salted_lookup, total
+from guidescape.runtime import checkpointed, hot_keys, hot_keys_of, hot_lookup, total
 
 
 def jaccard_graph(knn: DataFrame) -> DataFrame:
@@ -16,7 +16,8 @@ def jaccard_graph(knn: DataFrame) -> DataFrame:
     lists = knn.groupBy("src").agg(F.collect_set("dst").alias("_list"))
     own = lists.withColumnRenamed("_list", "_own")
     theirs = lists.select(F.col("src").alias("dst"), F.col("_list").alias("_theirs"))
-    both = salted_lookup(knn.select("src", "dst").join(own, "src"), theirs, ["dst"])
+    hubs = hot_keys_of(knn, ["dst"])
+    both = hot_lookup(knn.select("src", "dst").join(own, "src"), theirs, ["dst"], hubs)
     shared = F.size(F.array_intersect("_own", "_theirs"))
     union = F.size("_own") + F.size("_theirs") - shared
     return both.select("src", "dst", (shared / union).alias("weight")).where(F.col("weight") > 0)
@@ -36,22 +37,35 @@ def communities(edges: DataFrame, rounds: int = 3) -> DataFrame:
     single-cell communities only merge towards the smaller id, so partners cannot swap places.
     """
     graph = checkpointed(undirected(edges))
-    degree = checkpointed(graph.groupBy(F.col("src").alias("cell_id")).agg(F.sum("weight").alias("_k")))
+    hubs = checkpointed(hot_keys_of(graph, ["dst"]))
+    degree = checkpointed(
+        graph.groupBy(F.col("src").alias("cell_id")).agg(
+            F.sum("weight").alias("_k"), F.count(F.lit(1)).alias("_links")
+        )
+    )
     mass = degree.agg(F.sum("_k")).first()[0] or 1.0
     labels = degree.select("cell_id", F.col("cell_id").alias("community"))
     for step in range(rounds):
         held = degree.join(labels, "cell_id")
-        sizes = held.groupBy("community").agg(
-            F.sum("_k").alias("_mass"), F.count(F.lit(1)).alias("_members")
+        sizes = checkpointed(
+            held.groupBy("community").agg(
+                F.sum("_k").alias("_mass"),
+                F.count(F.lit(1)).alias("_members"),
+                (F.sum("_links") + F.count(F.lit(1))).alias("_rows"),
+            )
         )
-        state = held.withColumnRenamed("community", "_own")
-        own_size = sizes.select(F.col("community").alias("_own"), F.col("_members").alias("_own_members"))
-        state = salted_lookup(state, own_size, ["_own"])
+        large = hot_keys(sizes, ["community"], "_rows")
+        sizes = sizes.drop("_rows")
+        own_size = sizes.select("community", F.col("_members").alias("_own_members"))
+        state = hot_lookup(
+            held.select("cell_id", "_k", "community"), own_size, ["community"], large
+        ).withColumnRenamed("community", "_own")
         theirs = labels.withColumnRenamed("cell_id", "dst")
-        links = salted_lookup(graph, theirs, ["dst"]).select(F.col("src").alias("cell_id"), "community", "weight")
+        links = hot_lookup(graph, theirs, ["dst"], hubs).select(F.col("src").alias("cell_id"), "community", "weight")
         stay = labels.select("cell_id", "community", F.lit(0.0).alias("weight"))
         options = links.unionByName(stay).groupBy("cell_id", "community").agg(F.sum("weight").alias("_in"))
-        options = salted_lookup(salted_lookup(options, sizes, ["community"]), state, ["cell_id"])
+        options = hot_lookup(options, sizes, ["community"], large)
+        options = hot_lookup(options, state, ["cell_id"], hubs.withColumnRenamed("dst", "cell_id"))
         stays = F.col("community") == F.col("_own")
         others = F.col("_mass") - F.when(stays, F.col("_k")).otherwise(0.0)
         gain = F.round(F.col("_in") - F.col("_k") * others / mass, 12)
@@ -72,11 +86,13 @@ def communities(edges: DataFrame, rounds: int = 3) -> DataFrame:
 
 def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Share of edge weight inside communities, minus what degrees alone would give."""
-    graph = undirected(edges)
+    graph = checkpointed(undirected(edges))
     mass = total(graph, F.sum("weight"))
+    hubs = checkpointed(hot_keys_of(graph, ["dst"]))
     src = labels.select(F.col("cell_id").alias("src"), F.col("community").alias("_a"))
     dst = labels.select(F.col("cell_id").alias("dst"), F.col("community").alias("_b"))
-    ends = salted_lookup(salted_lookup(graph, src, ["src"]), dst, ["dst"])
+    ends = hot_lookup(graph, src, ["src"], hubs.withColumnRenamed("dst", "src"))
+    ends = hot_lookup(ends, dst, ["dst"], hubs)
     per = ends.groupBy(F.col("_a").alias("community")).agg(
         F.sum(F.when(F.col("_a") == F.col("_b"), F.col("weight")).otherwise(0.0)).alias("_in"),
         F.sum("weight").alias("_all"),
@@ -93,10 +109,11 @@ def graph_partitions(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     forth = edges.select("src", "dst")
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     graph = checkpointed(forth.unionByName(back).where("src <> dst").distinct())
+    hubs = checkpointed(hot_keys_of(graph, ["dst"]))
     labels = checkpointed(vertices.select("cell_id", F.col("cell_id").alias("partition")))
     while True:
         seen = labels.select(F.col("cell_id").alias("dst"), F.col("partition").alias("_seen"))
-        lowest = salted_lookup(graph, seen, ["dst"]).groupBy(F.col("src").alias("cell_id")).agg(
+        lowest = hot_lookup(graph, seen, ["dst"], hubs).groupBy(F.col("src").alias("cell_id")).agg(
             F.min("_seen").alias("_low")
         )
         hooked = checkpointed(
@@ -107,7 +124,7 @@ def graph_partitions(vertices: DataFrame, edges: DataFrame) -> DataFrame:
             )
         )
         ahead = hooked.select(F.col("cell_id").alias("_label"), F.col("_label").alias("partition"))
-        jumped = checkpointed(salted_lookup(hooked, ahead, ["_label"]))
+        jumped = checkpointed(hot_lookup(hooked, ahead, ["_label"], hot_keys_of(hooked, ["_label"])))
         labels = jumped.select("cell_id", "partition")
         if jumped.where(F.col("partition") != F.col("_before")).isEmpty():
             return labels
@@ -118,7 +135,7 @@ def follow_parents(pointers: DataFrame) -> DataFrame:
     pointers = checkpointed(pointers.select("cell_id", "parent"))
     while True:
         ahead = pointers.select(F.col("cell_id").alias("parent"), F.col("parent").alias("_next"))
-        jumped = checkpointed(salted_lookup(pointers, ahead, ["parent"]))
+        jumped = checkpointed(hot_lookup(pointers, ahead, ["parent"], hot_keys_of(pointers, ["parent"])))
         pointers = jumped.select("cell_id", F.col("_next").alias("parent"))
         if jumped.where(F.col("_next") != F.col("parent")).isEmpty():
             return pointers

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from guidescape.runtime import salted_lookup
+from guidescape.runtime import hot_keys_of, hot_lookup
 
 
 def supra_join(cells: DataFrame, guide_genes: DataFrame, cluster_genes: DataFrame) -> DataFrame:
     """One row per cell and gene associated with both the cell's guide and the cell's cluster.
 
     The two small association tables meet first. Each (cluster, guide) then owns one array of genes, so every cell takes
-    part in one lookup and a heavy guide is spread by salting before its rows are multiplied.
+    part in one lookup and a heavy guide is split before its rows are multiplied.
     """
     own = cluster_genes.select(F.col("cluster").alias("louvain"), "gene")
     genes = (
@@ -21,7 +21,8 @@ def supra_join(cells: DataFrame, guide_genes: DataFrame, cluster_genes: DataFram
         .agg(F.collect_list("gene").alias("_genes"))
     )
     slim = cells.select("cell_id", "louvain", "guide")
-    return salted_lookup(slim, genes, ["louvain", "guide"]).select(
+    keys = ["louvain", "guide"]
+    return hot_lookup(slim, genes, keys, hot_keys_of(slim, keys)).select(
         "cell_id", "louvain", "guide", F.explode("_genes").alias("gene")
     )
 

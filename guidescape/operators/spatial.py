@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from guidescape.functions.tails import normal_upper
 from guidescape.operators.components import _centred
 from guidescape.operators.enrichment import bh_adjust
-from guidescape.runtime import checkpointed, salted_lookup, total
+from guidescape.runtime import checkpointed, hot_keys_of, hot_lookup, total
 
 
 def morans_i(wide: DataFrame, genes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def morans_i(wide: DataFrame, genes: DataFrame, edges: DataFrame) -> DataFrame:
     ``wide`` has (cell_id, values), ``genes`` (pos, gene). A cell's values travel as one array per edge, and products are
     summed per gene before anything is shuffled.
     """
-    links = edges.select("src", "dst").distinct()
+    links = checkpointed(edges.select("src", "dst").distinct())
     z = _centred(wide).select("cell_id", vector_to_array("_centred").alias("z"))
     n = total(wide, F.count(F.lit(1)))
     s0 = total(links, F.count(F.lit(1)))
@@ -29,7 +29,7 @@ def morans_i(wide: DataFrame, genes: DataFrame, edges: DataFrame) -> DataFrame:
     left = z.select(F.col("cell_id").alias("src"), F.col("z").alias("zi"))
     right = z.select(F.col("cell_id").alias("dst"), F.col("z").alias("zj"))
     crossed = (
-        salted_lookup(links, right, ["dst"], salts=4)
+        hot_lookup(links, right, ["dst"], hot_keys_of(links, ["dst"]))
         .join(left, "src")
         .select(F.posexplode(F.zip_with("zi", "zj", lambda a, b: a * b)).alias("pos", "zz"))
         .groupBy("pos")

@@ -1,8 +1,9 @@
-"""Session helpers shared by the operators: durable lineage cuts and skew-proof lookups."""
+"""Session helpers shared by the operators: durable lineage cuts and lookups that survive hot keys."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -22,29 +23,60 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through reliable storage, so a lost executor replays from the written copy."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def salted_lookup(
-    facts: DataFrame,
-    lookup: DataFrame,
-    on: list[str],
-    how: str = "inner",
-    salts: int = 8,
-) -> DataFrame:
-    """Join many rows to a table that is unique on ``on`` when some keys may be very hot.
-
-    Fact rows of one key are spread over ``salts`` partitions by a hash of the whole row and the lookup row
-    is repeated once per salt, so a key that owns a third of all facts never sits in one task.
+    """Cut lineage through a table written to the checkpoint folder, so a lost executor replays from the written copy.
+
+    A written table also carries its true size: the planner broadcasts it only when it really is small, and size
+    estimates do not multiply from round to round of an iteration.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+# A key that owns more rows than this is split over several tasks.
+ROWS_PER_TASK = 2_000_000
+
+
+def salted_lookup(facts: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join many rows to a small dictionary (guides, listed genes) when some keys may be very hot.
+
+    Fact rows of one key are spread by a hash of the whole row and every dictionary row is repeated once per salt, so no
+    pass is needed to find the hot keys. The number of salts follows the session's shuffle width.
     """
-    salt = F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int")
-    spread = facts.withColumn("_salt", salt)
+    width = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = min(256, max(8, width // 4))
+    spread = facts.withColumn("_salt", F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int"))
     repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
+def hot_keys(counts: DataFrame, on: list[str], rows: str) -> DataFrame:
+    """Keys of a count table that own too many rows for one task, with the number of tasks each needs.
+
+    Every listed key owns more than ``ROWS_PER_TASK`` rows, so the list is at most total rows / ``ROWS_PER_TASK`` long.
+    """
+    salts = F.ceil(F.col(rows) / ROWS_PER_TASK).cast("int").alias("_salts")
+    return counts.where(F.col(rows) > ROWS_PER_TASK).select(*on, salts)
+
+
+def hot_keys_of(facts: DataFrame, on: list[str]) -> DataFrame:
+    """As ``hot_keys``, counting the facts first."""
+    return hot_keys(facts.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")), on, "_rows")
+
+
+def hot_lookup(facts: DataFrame, lookup: DataFrame, on: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
+    """Join facts to a large table, splitting only the keys listed in ``hot`` and repeating only their lookup rows."""
+    hot = F.broadcast(hot)
+    salts = F.coalesce("_salts", F.lit(1))
+    spread = facts.join(hot, on, "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(*facts.columns), salts).cast("int")
+    )
+    repeated = lookup.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return spread.drop("_salts").join(repeated.drop("_salts"), [*on, "_salt"], how).drop("_salt")
+
+
 def total(df: DataFrame, measure: Column) -> Column:
     """One aggregate over a whole table as a scalar subquery, ready to be used in any expression."""
     return df.agg(measure.alias("_total")).scalar()

@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from guidescape import runtime
 from guidescape.operators import density, graph, neighbours, spatial, trajectory
 
 
@@ -16,6 +17,12 @@ def all_distances(matrix):
     return np.sqrt(((matrix[:, None, :] - matrix[None, :, :]) ** 2).sum(axis=2))
 
 
+@pytest.fixture(params=[2_000_000, 3])
+def task_size(request, monkeypatch):
+    """Everything must hold with and without split keys."""
+    monkeypatch.setattr(runtime, "ROWS_PER_TASK", request.param)
+
+
 CLOUDS = {
     "plane": np.random.default_rng(1).random((300, 2)),
     "clumps": np.concatenate([np.random.default_rng(2).normal(c, 0.05, (100, 3)) for c in (0, 3, 9)]),
@@ -68,14 +75,14 @@ def test_density_equals_brute_force(spark, name):
         assert (table["parent"][i], table["delta"][i]) == (best, pytest.approx(gaps[i, best]))
 
 
-def test_density_peaks_recover_planted_groups(spark):
+def test_density_peaks_recover_planted_groups(spark, task_size):
     table = density.density_rho_delta(points_frame(spark, CLOUDS["clumps"]), 0.1)
     centre = density.density_peaks(table, 3).toPandas().set_index("cell_id")["centre"]
     groups = [set(centre[i] for i in range(s, s + 100)) for s in (0, 100, 200)]
     assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 3
 
 
-def test_jaccard_weights(spark):
+def test_jaccard_weights(spark, task_size):
     edges = [(0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1), (3, 0), (3, 1)]
     got = graph.jaccard_graph(spark.createDataFrame(edges, "src long, dst long")).collect()
     weights = {(r["src"], r["dst"]): r["weight"] for r in got}
@@ -93,7 +100,7 @@ def planted_edges():
     return inside + [(0, 10, 1.0)]
 
 
-def test_communities_recover_planted_groups(spark):
+def test_communities_recover_planted_groups(spark, task_size):
     edges = spark.createDataFrame(planted_edges(), "src long, dst long, weight double")
     labels = graph.communities(edges, rounds=8)
     found = labels.toPandas().set_index("cell_id")["community"]
@@ -103,7 +110,7 @@ def test_communities_recover_planted_groups(spark):
     assert score == pytest.approx(90 / 91 - 0.5, abs=1e-12)
 
 
-def test_connected_groups_and_isolated_cells(spark):
+def test_connected_groups_and_isolated_cells(spark, task_size):
     chain = [(i, i + 1) for i in range(0, 40)] + [(50, 51), (52, 51)]
     vertices = spark.createDataFrame([(i,) for i in [*range(41), 50, 51, 52, 99]], "cell_id long")
     got = graph.graph_partitions(vertices, spark.createDataFrame(chain, "src long, dst long"))
@@ -144,7 +151,7 @@ def test_root_vertex_ties_go_to_the_first(spark):
     assert trajectory.root_vertex(df, "kind", "w").first()["vertex"] == 1
 
 
-def test_moran_against_dense_formula(spark):
+def test_moran_against_dense_formula(spark, task_size):
     rng = np.random.default_rng(8)
     n = 60
     matrix = np.c_[np.repeat([0.0, 5.0], 30) + rng.normal(0, 0.1, n), rng.normal(size=n), np.ones(n)]

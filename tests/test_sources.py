@@ -89,6 +89,18 @@ def test_salted_lookup_equals_plain_join(spark):
         assert a == b
 
 
+def test_hot_keys_are_split_and_nothing_is_lost(spark, monkeypatch):
+    monkeypatch.setattr(runtime, "ROWS_PER_TASK", 100)
+    facts = spark.range(1000).select(F.when(F.col("id") < 700, 0).otherwise(F.col("id") % 9).alias("k"), "id")
+    lookup = spark.createDataFrame([(k, f"v{k}") for k in range(7)], "k long, v string")
+    hot = runtime.hot_keys_of(facts, ["k"])
+    assert [tuple(r) for r in hot.collect()] == [(0, 8)]
+    for how in ("inner", "left"):
+        a = sorted(runtime.hot_lookup(facts, lookup, ["k"], hot, how).select("id", "v").collect())
+        b = sorted(facts.join(lookup, "k", how).select("id", "v").collect())
+        assert a == b
+
+
 def test_checkpoint_folder_of_the_session_wins(spark):
     runtime.ensure_checkpoint_dir(spark)
     before = spark.sparkContext.getCheckpointDir()
