@@ -28,7 +28,7 @@ def _finish(scored: DataFrame) -> DataFrame:
     tested = scored.select(
         "gene", F.when(ok, "OK").otherwise("FAIL").alias("status"), F.when(ok, F.col("lr")).alias("lr"), "df"
     ).withColumn("_p", chi2_upper(F.col("lr"), F.when(F.col("status") == "OK", F.col("df"))))
-    adjusted = bh_adjust(tested.withColumn("_p", F.when(F.col("status") == "OK", F.col("_p"))), "_p")
+    adjusted = bh_adjust(tested, "_p")
     return adjusted.select(
         "gene",
         "status",
@@ -42,13 +42,14 @@ def de_one_factor(expr: DataFrame, factor: str, family: str = "gaussian") -> Dat
 
     ``family`` is ``gaussian`` or ``inverse_gaussian`` (shared shape; genes with a value ≤ 0 fail).
     """
-    per = checkpointed(expr.groupBy("gene", factor).agg(
+    per = expr.groupBy("gene", factor).agg(
         F.count("value").alias("n"),
         F.avg("value").alias("mean"),
         F.var_pop("value").alias("var"),
         F.sum(F.when(F.col("value") > 0, 1 / F.col("value"))).alias("inverse"),
         F.min("value").alias("low"),
-    ))
+    )
+    per = checkpointed(per)
     centre = F.sum(F.col("n") * F.col("mean")) / F.sum("n")
     whole = per.groupBy("gene").agg(
         F.sum("n").alias("n"),
