@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from guidescape.llm.components import connected
 from guidescape.llm.membership import bitmap, passing
 from guidescape.llm.text import as_long, shingle_set, word_hashes
-from guidescape.runtime import checkpointed
+from guidescape.runtime import checkpointed, importable
 
 N = 4
 PERCENT = 85
@@ -78,7 +78,7 @@ def prefix_length(size: int, percent: int) -> int:
 def describe(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """doc_id, size (of its set), set_a and set_b (a 128-bit hash of the set), p0 to p3 (parities of its 256
     blocks), prefix (n-grams of the columns it enters)."""
-    sketch = docs.sparkSession.sparkContext.broadcast(_sketch(docs, n))
+    sketch = importable(docs.sparkSession).sparkContext.broadcast(_sketch(docs, n))
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -96,9 +96,11 @@ def describe(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
             out[PARITIES] = np.array(parities, np.int64).reshape(-1, len(PARITIES))
             yield out.assign(prefix=pd.Series(firsts, dtype=object))
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    longs = ", ".join(f"{name} long" for name in ["doc_id", "size", "set_a", "set_b", *PARITIES])
-    return rows.mapInPandas(prefixes, f"{longs}, prefix array<long>")
+    # The id travels as text: pandas has no 64-bit integers beside nulls.
+    rows = docs.select(F.col("doc_id").cast("string"), "text")
+    longs = ", ".join(f"{name} long" for name in ["size", "set_a", "set_b", *PARITIES])
+    found = rows.mapInPandas(prefixes, f"doc_id string, {longs}, prefix array<long>")
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _fingerprint(found: np.ndarray) -> tuple[int, int]:

@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from guidescape.llm.text import crc32, mix
+from guidescape.runtime import importable
 
 N = 3
 WORDS_HELD = 1_000_000
@@ -297,6 +298,7 @@ def nbest(docs: DataFrame, model: str, n: int = N) -> DataFrame:
                         rows.append((doc_id, rank, score, len(ids), crc32(ids.astype("<u4").tobytes()), same))
             yield pd.DataFrame(rows, columns=["doc_id", "rank", "score", "n_tokens", "ids_crc32", "round_trip"])
 
+    importable(docs.sparkSession)
     fields = "doc_id string, rank int, score double, n_tokens long, ids_crc32 long, round_trip boolean"
     rows = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(encode, fields)
     return rows.withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -91,9 +91,9 @@ ORACLE = {
             SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c
             FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM docs)),
         twice AS (
-            SELECT doc_id, unnest([i, i + 1, i + 2]) AS at
+            SELECT doc_id, unnest([i, i + 1, i + 2]) AS place
             FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM windows) WHERE n > 1),
-        repeats AS (SELECT doc_id, count(DISTINCT at) AS n FROM twice GROUP BY doc_id),
+        repeats AS (SELECT doc_id, count(DISTINCT place) AS n FROM twice GROUP BY doc_id),
         measured AS (
             SELECT docs.doc_id, len(w) AS n_words,
                    length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from guidescape.llm.idcodec import CHUNK, decode_chunks, encode_chunks
 from guidescape.llm.text import crc32, encoded
+from guidescape.runtime import importable
 
 END = 2
 WORDS_HELD = 500_000
@@ -130,6 +131,7 @@ def encode_files(docs: DataFrame, tokenizer: str) -> DataFrame:
         if ready:
             yield rows(ready)
 
+    importable(docs.sparkSession)
     named = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tie"))
     ordered = named.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     # The id travels as text: pandas has no 64-bit integers beside nulls.
@@ -175,7 +177,7 @@ def _decoded(files: DataFrame, field: str, of) -> DataFrame:
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
-    files = spark.read.parquet(path)
+    files = importable(spark).read.parquet(path)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
     offsets = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from guidescape.llm.text import as_long, id_remainder, word_hashes
-from guidescape.runtime import checkpointed
+from guidescape.runtime import checkpointed, importable
 
 SAMPLE = 20_000
 FEATURES = 4096
@@ -125,6 +125,7 @@ def _ragged(parts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features: int = FEATURES, fairness: float = FAIRNESS):
+    importable(docs.sparkSession)
     rows = checkpointed(labelled(docs, labels, sample))
     kinds = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not kinds.get(0) or not kinds.get(1):
@@ -172,7 +173,7 @@ def descend(keys: np.ndarray, data: pd.DataFrame, fairness: float) -> Classifier
 
 def scorer(spark, model: Classifier):
     """A column function: score of a text, 0 to 1."""
-    sent = spark.sparkContext.broadcast(model)
+    sent = importable(spark).sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
