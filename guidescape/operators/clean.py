@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from guidescape.functions.labels import CONTROL, default_control, parse_guide
-from guidescape.runtime import salted_lookup
 
 
 def with_guide(df: DataFrame, label: str, control: str = CONTROL) -> DataFrame:
@@ -18,7 +17,7 @@ def with_guide(df: DataFrame, label: str, control: str = CONTROL) -> DataFrame:
 def lump_other(df: DataFrame, col: str, keep: DataFrame, other: str = "other", out: str = "lumped") -> DataFrame:
     """Keep the values found in ``keep`` and turn all others, null included, into one label."""
     listed = keep.select(F.col(keep.columns[0]).alias(col)).distinct().withColumn("_kept", F.lit(True))
-    marked = salted_lookup(df, listed, [col], "left")
+    marked = df.join(listed, col, "left")
     value = F.when(F.col("_kept"), F.col(col)).otherwise(F.lit(other))
     return marked.withColumn(out, value).select(*df.columns, out)
 

@@ -130,7 +130,7 @@ def singular_values(corr: DataFrame, k: int) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.struct("col_b", "r"))), lambda e: e["r"]).alias("r")
     )
     matrix = RowMatrix(rows.select("r").rdd.map(lambda row: Vectors.dense(row["r"])))
-    values = matrix.computeSVD(k, computeU=False).s.toArray()
+    values = matrix.computeSVD(k, computeU=False, rCond=1e-15).s.toArray()
     spark = corr.sparkSession
     return spark.createDataFrame(
         [(i + 1, float(v)) for i, v in enumerate(values)], "component int, singular_value double"

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from guidescape.functions.labels import CONTROL, is_wild_type
-from guidescape.runtime import salted_lookup, total
+from guidescape.runtime import total
 
 
 def _count(df: DataFrame, *keys: str, name: str = "n") -> DataFrame:
@@ -64,7 +64,7 @@ def control_share(cells: DataFrame, control: str = CONTROL) -> DataFrame:
 def guide_coverage(cells: DataFrame, guide_genes: DataFrame, control: str = CONTROL) -> DataFrame:
     """Distinct cells whose guide has associations, and distinct cells that are not control, over all cells."""
     known = guide_genes.select("guide").distinct().withColumn("_known", F.lit(True))
-    marked = salted_lookup(cells.select("cell_id", "guide"), known, ["guide"], "left")
+    marked = cells.select("cell_id", "guide").join(known, "guide", "left")
     per_cell = marked.groupBy("cell_id").agg(
         F.max(F.when(F.col("_known"), 1).otherwise(0)).alias("_covered"),
         F.max(F.when(is_wild_type(F.col("guide"), control), 1).otherwise(0)).alias("_control"),

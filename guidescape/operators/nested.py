@@ -245,9 +245,11 @@ def ordering_genes(tests: DataFrame, k: int = 200) -> DataFrame:
 def pseudotime_profile(
     expr: DataFrame, cells: DataFrame, col: str = "pseudotime", bins: int = 100, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Mean expression per gene and pseudotime bin, z-scored within each gene (and each value of ``by``)."""
+    """Mean expression per gene and pseudotime bin (equal widths from its minimum to its maximum), z-scored within each gene (and each value of ``by``)."""
     by = list(by)
-    bin_no = F.least(F.floor(F.col(col) * bins), F.lit(bins - 1)).cast("int")
+    low, high = cells.agg(F.min(col), F.max(col)).first()
+    share = (F.col(col) - F.lit(low)) / F.lit((high - low) or 1.0) if low is not None else F.lit(0.0)
+    bin_no = F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int")
     placed = expr.select("cell_id", "gene", "value").join(cells.select("cell_id", *by, bin_no.alias("bin")), "cell_id")
     means = placed.groupBy("gene", *by, "bin").agg(F.avg("value").alias("mean"))
     own = Window.partitionBy("gene", *by)

@@ -94,11 +94,11 @@ VIEWS = {
                least(1.0, min(raw_d) over (partition by louvain order by p_value_deplete desc)) as p_adj_deplete
         from ranked""",
     "significant": "select * from final where round(p_value_enrich, 9) < 0.05",
-    "top10": """
+    "top_fifty": """
         select louvain, guide, n from counts where guide in (select guide from sigpos)
-        qualify row_number() over (partition by louvain order by n desc, guide) <= 10""",
+        qualify row_number() over (partition by louvain order by n desc, guide) <= 50""",
     "not_in_ref": """
-        select * from top10 where louvain <> 4 and guide not in (select guide from top10 where louvain = 4)""",
+        select * from top_fifty where louvain <> 4 and guide not in (select guide from top_fifty where louvain = 4)""",
     "ref_totals": "select guide, sum(n) as total from not_in_ref group by 1",
     "numi_corr": """
         select concat('cluster_', a.louvain) as col_a, concat('cluster_', b.louvain) as col_b,
@@ -465,14 +465,14 @@ _BODIES = {
               from numi_corr, (select count(*) - 2 as df from scaffold))""",
     "guide_density": """
         select louvain, point, round(any_value(x), 6) + 0.0 as x, round(sum(kernel), 6) + 0.0 as density
-        from (select louvain, point, lo + point * ((hi - lo) / 127) as x,
-                     n / total * exp(-0.5 * power((lo + point * ((hi - lo) / 127) - id) / 0.2, 2))
+        from (select louvain, point, lo + point * ((hi - lo) / 511) as x,
+                     n / total * exp(-0.5 * power((lo + point * ((hi - lo) / 511) - id) / 0.2, 2))
                      / (0.2 * sqrt(2 * pi())) as kernel
               from (select louvain, id, count(*) as n from ids group by 1, 2)
               join (select louvain, cast(min(id) as double) - cast(0.6 as double) as lo,
                            cast(max(id) as double) + cast(0.6 as double) as hi, count(*) as total
                     from ids group by 1) using (louvain),
-              (select cast(c as int) as point from range(128) t(c)))
+              (select cast(c as int) as point from range(512) t(c)))
         group by 1, 2""",
     "gene_detection_summary": """
         select cast(min(c) as double) as "min", quantile_cont(c, 0.25) as q1, quantile_cont(c, 0.5) as median,

@@ -264,7 +264,7 @@ REFERENCE_CLUSTER = 4
 
 
 def _not_in_ref(v: Views) -> DataFrame:
-    top = topk.top_guides_per_cluster(v.cells, v.sigpos, 10)
+    top = topk.top_guides_per_cluster(v.cells, v.sigpos)
     return topk.top_guides_not_in_ref(top, REFERENCE_CLUSTER)
 
 
@@ -412,14 +412,16 @@ def _cluster_genes_long(v: Views, cluster: int) -> DataFrame:
 @query
 def corr_svd(v: Views) -> DataFrame:
     corr = correlation.cross_corr(_cluster_genes_long(v, 0), _cluster_genes_long(v, 1))
-    return correlation.singular_values(corr, 5)
+    return correlation.singular_values(corr, v.genes.count())
 
 
 @query
 def cancor(v: Views) -> DataFrame:
     rows = v.expr.select(F.col("cell_id").alias("row"), F.col("gene").alias("col"), "value")
-    first = rows.where(F.col("col").isin("g0", "g1", "g2", "g3"))
-    second = rows.where(F.col("col").isin("g4", "g5", "g6", "g7"))
+    half = v.genes.select(F.col("gene").alias("col"), F.col("pos") * 2 < v.genes.count())
+    half = half.toDF("col", "_first")  # one row per gene
+    sided = rows.join(half, "col")
+    first, second = (sided.where(side).drop("_first") for side in ("_first", "not _first"))
     return _rounded(correlation.canonical_correlation(first, second), 6, "correlation")
 
 
@@ -432,7 +434,7 @@ def _guide_id():
 
 @query
 def guide_density(v: Views) -> DataFrame:
-    out = correlation.guide_density(v.cells.withColumn("guide_id", _guide_id()), "guide_id", points=128)
+    out = correlation.guide_density(v.cells.withColumn("guide_id", _guide_id()), "guide_id")
     return _rounded(out, 6, "x", "density")
 
 
@@ -607,21 +609,21 @@ def density_peaks(v: Views) -> DataFrame:
 
 def _tree(v: Views):
     tree = trajectory.fit_tree(v.matrix, 10)
-    return tree, trajectory.project_cells(v.matrix, tree)
+    placed = trajectory.project_cells(v.matrix, tree)
+    typed = placed.join(v.matrix.select("cell_id", "louvain"), "cell_id")
+    return tree, placed, trajectory.root_vertex(typed, "louvain", 0).first()["vertex"]
 
 
 @query
 def pseudotime(v: Views) -> DataFrame:
-    tree, placed = _tree(v)
-    typed = placed.join(v.matrix.select("cell_id", "louvain"), "cell_id")
-    root = trajectory.root_vertex(typed, "louvain", 0).first()["vertex"]
+    tree, placed, root = _tree(v)
     return trajectory.pseudotime(placed, tree, root).select("cell_id", "vertex", "pseudotime")
 
 
 @query
 def trajectory_states(v: Views) -> DataFrame:
-    tree, placed = _tree(v)
-    return trajectory.trajectory_states(placed, tree, 0).select("cell_id", "vertex", "state")
+    tree, placed, root = _tree(v)
+    return trajectory.trajectory_states(placed, tree, root).select("cell_id", "vertex", "state")
 
 
 @query

@@ -72,6 +72,8 @@ def write_result(df: DataFrame, root: str, name: str, day: dt.date | None = None
 
 
 def snapshot(df: DataFrame, path: str) -> DataFrame:
-    """Write an intermediate and carry on from the written copy; a later job can read the same path."""
+    """Write an intermediate and carry on from the written copy. A path that ``df`` itself reads from is refused."""
+    if any(f"/{path.strip('/')}/" in name for name in df.inputFiles()):
+        raise ValueError(f"{path} is read by the table to be written")
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -14,6 +14,7 @@ def spark():
         .appName("guidescape-tests")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", "spark-warehouse/_checkpoints")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
