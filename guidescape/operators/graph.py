@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from guidescape.runtime import checkpointed, hot_keys, hot_keys_of, hot_lookup, total
 
+# Rounds of local moves without a better score before a level ends: two, so that both halves of the vertices had theirs.
+PATIENCE = 2
+
 
 def jaccard_graph(knn: DataFrame) -> DataFrame:
     """Weight of each neighbour edge: shared neighbours over the union of both neighbour lists.
@@ -30,58 +33,119 @@ def undirected(edges: DataFrame) -> DataFrame:
     return forth.unionByName(back).where("src <> dst").groupBy("src", "dst").agg(F.max("weight").alias("weight"))
 
 
-def communities(edges: DataFrame, rounds: int = 3) -> DataFrame:
-    """Modularity clustering by local moves: cell_id, community.
+def communities(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
+    """Modularity clustering: cell_id, community (the smallest cell of it), one row per vertex.
 
-    In each round half of the cells (by hash, alternating) move to the neighbouring community with the largest gain. Two
-    single-cell communities only merge towards the smaller id, so partners cannot swap places.
+    Cells move between communities until modularity stops growing; then every community becomes one vertex, its inner
+    weight a loop, and the same is done on the smaller graph, until a level gains nothing. Vertices without an edge
+    (``vertices``: cell_id) are communities of their own.
     """
     graph = checkpointed(undirected(edges))
+    ends = graph.select(F.col("src").alias("cell_id"))
+    ends = ends if vertices is None else ends.unionByName(vertices.select("cell_id"))
+    labels = checkpointed(ends.distinct().select("cell_id", F.col("cell_id").alias("community")))
+    loops = labels.select("cell_id", F.lit(0.0).alias("loop"))
+    mass = graph.agg(F.sum("weight")).first()[0] or 1.0
+    while not graph.isEmpty():
+        moved = _local_moves(graph, loops, mass)
+        if moved is None:
+            break
+        step = moved.select(F.col("cell_id").alias("community"), F.col("community").alias("_next"))
+        named = hot_lookup(labels, step, ["community"], hot_keys_of(labels, ["community"]), "left")
+        labels = checkpointed(named.select("cell_id", F.coalesce("_next", "community").alias("community")))
+        graph, loops = _contracted(graph, loops, moved)
+    names = labels.groupBy("community").agg(F.min("cell_id").alias("_name"))
+    return hot_lookup(labels, names, ["community"], hot_keys_of(labels, ["community"])).select(
+        "cell_id", F.col("_name").alias("community")
+    )
+
+
+def _contracted(graph: DataFrame, loops: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Communities as vertices: edges between them, and loops that hold both directions of what lies inside."""
+    src = labels.select(F.col("cell_id").alias("src"), F.col("community").alias("_a"))
+    dst = labels.select(F.col("cell_id").alias("dst"), F.col("community").alias("_b"))
+    hubs = hot_keys_of(graph, ["dst"])
+    ends = hot_lookup(graph, src, ["src"], hubs.withColumnRenamed("dst", "src"))
+    ends = hot_lookup(ends, dst, ["dst"], hubs)
+    between = checkpointed(ends.groupBy(F.col("_a").alias("src"), F.col("_b").alias("dst")).agg(F.sum("weight").alias("weight")))
+    inner = between.where("src = dst").select(F.col("src").alias("cell_id"), F.col("weight").alias("loop"))
+    kept = loops.join(labels, "cell_id").select(F.col("community").alias("cell_id"), "loop")
+    grown = checkpointed(kept.unionByName(inner).groupBy("cell_id").agg(F.sum("loop").alias("loop")))
+    return checkpointed(between.where("src <> dst")), grown
+
+
+def _local_moves(graph: DataFrame, loops: DataFrame, mass: float) -> DataFrame | None:
+    """Labels (cell_id, community) of the vertices with an edge, or None where no move gains.
+
+    In each round half of the vertices (by hash, alternating) move to the neighbouring community with the largest gain.
+    Two single-vertex communities only merge towards the smaller id, so partners cannot swap places. Moves made at once
+    may undo each other's gain: rounds end after ``PATIENCE`` of them without a better score, and the best labels are
+    returned.
+    """
     hubs = checkpointed(hot_keys_of(graph, ["dst"]))
+    linked = graph.groupBy(F.col("src").alias("cell_id")).agg(
+        F.sum("weight").alias("_out"), F.count(F.lit(1)).alias("_links")
+    )
     degree = checkpointed(
-        graph.groupBy(F.col("src").alias("cell_id")).agg(
-            F.sum("weight").alias("_k"), F.count(F.lit(1)).alias("_links")
-        )
+        linked.join(loops, "cell_id", "left").select("cell_id", (F.col("_out") + F.coalesce("loop", F.lit(0.0))).alias("_k"), "_links")
     )
-    mass = degree.agg(F.sum("_k")).first()[0] or 1.0
     labels = degree.select("cell_id", F.col("cell_id").alias("community"))
-    for step in range(rounds):
-        held = degree.join(labels, "cell_id")
-        sizes = checkpointed(
-            held.groupBy("community").agg(
-                F.sum("_k").alias("_mass"),
-                F.count(F.lit(1)).alias("_members"),
-                (F.sum("_links") + F.count(F.lit(1))).alias("_rows"),
-            )
+    best, score, idle, step = None, _gained(graph, degree, labels, hubs, mass), 0, 0
+    while idle < PATIENCE:
+        labels = _one_round(graph, degree, labels, hubs, mass, step)
+        now = _gained(graph, degree, labels, hubs, mass)
+        idle, step = idle + 1, step + 1
+        if now > score + 1e-9:
+            best, score, idle = labels, now, 0
+    return best
+
+
+def _gained(graph: DataFrame, degree: DataFrame, labels: DataFrame, hubs: DataFrame, mass: float) -> float:
+    """Modularity of the labels without what moves cannot change: loops, and vertices that have no edge."""
+    src = labels.select(F.col("cell_id").alias("src"), F.col("community").alias("_a"))
+    dst = labels.select(F.col("cell_id").alias("dst"), F.col("community").alias("_b"))
+    ends = hot_lookup(graph, src, ["src"], hubs.withColumnRenamed("dst", "src"))
+    inside = hot_lookup(ends, dst, ["dst"], hubs).agg(F.sum(F.when(F.col("_a") == F.col("_b"), F.col("weight")))).first()[0]
+    sizes = degree.join(labels, "cell_id").groupBy("community").agg((F.sum("_k") / mass).alias("_share"))
+    return (inside or 0.0) / mass - (sizes.agg(F.sum(F.col("_share") * F.col("_share"))).first()[0] or 0.0)
+
+
+def _one_round(graph: DataFrame, degree: DataFrame, labels: DataFrame, hubs: DataFrame, mass: float, step: int) -> DataFrame:
+    held = degree.join(labels, "cell_id")
+    sizes = checkpointed(
+        held.groupBy("community").agg(
+            F.sum("_k").alias("_mass"),
+            F.count(F.lit(1)).alias("_members"),
+            (F.sum("_links") + F.count(F.lit(1))).alias("_rows"),
         )
-        large = hot_keys(sizes, ["community"], "_rows")
-        sizes = sizes.drop("_rows")
-        own_size = sizes.select("community", F.col("_members").alias("_own_members"))
-        state = hot_lookup(
-            held.select("cell_id", "_k", "community"), own_size, ["community"], large
-        ).withColumnRenamed("community", "_own")
-        theirs = labels.withColumnRenamed("cell_id", "dst")
-        links = hot_lookup(graph, theirs, ["dst"], hubs).select(F.col("src").alias("cell_id"), "community", "weight")
-        stay = labels.select("cell_id", "community", F.lit(0.0).alias("weight"))
-        options = links.unionByName(stay).groupBy("cell_id", "community").agg(F.sum("weight").alias("_in"))
-        options = hot_lookup(options, sizes, ["community"], large)
-        options = hot_lookup(options, state, ["cell_id"], hubs.withColumnRenamed("dst", "cell_id"))
-        stays = F.col("community") == F.col("_own")
-        others = F.col("_mass") - F.when(stays, F.col("_k")).otherwise(0.0)
-        gain = F.round(F.col("_in") - F.col("_k") * others / mass, 12)
-        allowed = stays | (F.col("_members") > 1) | (F.col("_own_members") > 1) | (F.col("community") < F.col("_own"))
-        best = (
-            options.where(allowed)
-            .groupBy("cell_id")
-            .agg(
-                F.min(F.struct((-gain).alias("loss"), F.col("community").alias("community"))).alias("_best"),
-                F.first("_own").alias("_own"),
-            )
+    )
+    large = hot_keys(sizes, ["community"], "_rows")
+    sizes = sizes.drop("_rows")
+    own_size = sizes.select("community", F.col("_members").alias("_own_members"))
+    state = hot_lookup(
+        held.select("cell_id", "_k", "community"), own_size, ["community"], large
+    ).withColumnRenamed("community", "_own")
+    theirs = labels.withColumnRenamed("cell_id", "dst")
+    links = hot_lookup(graph, theirs, ["dst"], hubs).select(F.col("src").alias("cell_id"), "community", "weight")
+    stay = labels.select("cell_id", "community", F.lit(0.0).alias("weight"))
+    options = links.unionByName(stay).groupBy("cell_id", "community").agg(F.sum("weight").alias("_in"))
+    options = hot_lookup(options, sizes, ["community"], large)
+    options = hot_lookup(options, state, ["cell_id"], hubs.withColumnRenamed("dst", "cell_id"))
+    stays = F.col("community") == F.col("_own")
+    others = F.col("_mass") - F.when(stays, F.col("_k")).otherwise(0.0)
+    gain = F.round(F.col("_in") - F.col("_k") * others / mass, 12)
+    allowed = stays | (F.col("_members") > 1) | (F.col("_own_members") > 1) | (F.col("community") < F.col("_own"))
+    best = (
+        options.where(allowed)
+        .groupBy("cell_id")
+        .agg(
+            F.min(F.struct((-gain).alias("loss"), F.col("community").alias("community"))).alias("_best"),
+            F.first("_own").alias("_own"),
         )
-        turn = F.pmod(F.xxhash64("cell_id"), F.lit(2)) == step % 2
-        moved = F.when(turn, F.col("_best.community")).otherwise(F.col("_own"))
-        labels = checkpointed(best.select("cell_id", moved.alias("community")))
-    return labels
+    )
+    turn = F.pmod(F.xxhash64("cell_id"), F.lit(2)) == step % 2
+    moved = F.when(turn, F.col("_best.community")).otherwise(F.col("_own"))
+    return checkpointed(best.select("cell_id", moved.alias("community")))
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:

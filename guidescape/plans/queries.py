@@ -579,7 +579,7 @@ def jaccard_graph(v: Views) -> DataFrame:
 
 @query
 def communities(v: Views) -> DataFrame:
-    return graph.communities(graph.jaccard_graph(_knn(v)))
+    return graph.communities(graph.jaccard_graph(_knn(v)), v.matrix)
 
 
 @query

@@ -102,7 +102,7 @@ def planted_edges():
 
 def test_communities_recover_planted_groups(spark, task_size):
     edges = spark.createDataFrame(planted_edges(), "src long, dst long, weight double")
-    labels = graph.communities(edges, rounds=8)
+    labels = graph.communities(edges)
     found = labels.toPandas().set_index("cell_id")["community"]
     assert len({found[i] for i in range(10)}) == 1 and len({found[i] for i in range(10, 20)}) == 1
     assert found[1] != found[11]
@@ -110,6 +110,17 @@ def test_communities_recover_planted_groups(spark, task_size):
     assert score == pytest.approx(90 / 91 - 0.5, abs=1e-12)
 
 
+def test_communities_label_every_cell(spark):
+    ring = [(6 * c + a, 6 * c + b, 1.0) for c in range(5) for a in range(6) for b in range(a)]
+    ring += [(6 * c, (6 * c + 7) % 30, 0.5) for c in range(5)]
+    edges = spark.createDataFrame(ring, "src long, dst long, weight double")
+    vertices = spark.range(33).withColumnRenamed("id", "cell_id")
+    found = graph.communities(edges, vertices).toPandas().set_index("cell_id")["community"]
+    assert found.index.is_unique and set(found.index) == set(range(33))
+    assert all(found[i] == i for i in (30, 31, 32))
+    assert all({found[6 * c + a] for a in range(6)} == {6 * c} for c in range(5))
+
+
 def test_connected_groups_and_isolated_cells(spark, task_size):
     chain = [(i, i + 1) for i in range(0, 40)] + [(50, 51), (52, 51)]
     vertices = spark.createDataFrame([(i,) for i in [*range(41), 50, 51, 52, 99]], "cell_id long")
