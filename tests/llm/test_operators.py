@@ -182,6 +182,29 @@ def test_line_dedup_recall(spark):
     assert len(set(roots(len(lines), links))) <= kept <= len(set(roots(len(lines), links))) + 1
 
 
+def test_line_dedup_of_many_groups_in_a_template(spark):
+    rng = np.random.default_rng(8)
+    letters = list("abcdefghijklmnopqrstuvwxyz ")
+    base = rng.choice(letters, 200)
+    lines = []
+    for _ in range(200):
+        at = rng.integers(0, 188)
+        group = base.copy()
+        group[at : at + 12] = rng.choice(letters, 12)
+        for _ in range(3):
+            text = group.copy()
+            text[rng.integers(1, 199)] = "X"
+            lines.append("".join(text).strip())
+    lines = list(dict.fromkeys(lines))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    kept = line_dedup.line_dedup(docs).where("text <> ''").count()
+    q = line_dedup.Q
+    sets = [{x.lower()[i : i + q] for i in range(len(x) - q + 1)} for x in lines]
+    links = [(a, b) for a, b in itertools.combinations(range(len(lines)), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = len(set(roots(len(lines), links)))
+    assert want <= kept <= 1.05 * want
+
+
 def brute_ngrams(texts, n=4, percent=85):
     def shingles(text):
         w = words(text)
