@@ -371,6 +371,17 @@ def test_automaton_is_a_distribution(spark):
         assert mass <= 1 + 1e-9 and mass > 0.8  # the rest belongs to unknown words
 
 
+def test_lm_scores_do_not_depend_on_what_is_broadcast(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"v{int(40 * rng.random() ** 2)}" for _ in range(60)) for _ in range(60)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    want = {r["doc_id"]: r["score"] for r in lm.lm_scores(frame).collect()}
+    monkeypatch.setattr(lm, "FREQUENT", 0.03)
+    monkeypatch.setattr(lm, "ARC", 0.003)
+    got = {r["doc_id"]: r["score"] for r in lm.lm_scores(frame).collect()}
+    assert got == pytest.approx(want)
+
+
 def test_coder_round_trip():
     rng = np.random.default_rng(0)
     for top in (1, 2, 300, 49408, 2**32 - 1):
