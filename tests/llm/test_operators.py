@@ -205,6 +205,21 @@ def test_line_dedup_of_many_groups_in_a_template(spark):
     assert want <= kept <= 1.05 * want
 
 
+def test_line_bands_at_the_threshold(spark):
+    rng, q, rows = np.random.default_rng(9), line_dedup.Q, []
+    for union in (50, 100, 150):
+        ends = union // 10  # so many shingles are in one line only, on either side: similarity 0.8
+        for _ in range(1000):
+            text = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), union + q - 1))
+            rows.append((len(rows), 0, text[: len(text) - ends].encode()))
+            rows.append((len(rows), 0, text[ends:].encode()))
+    signed = line_dedup.bands(spark.createDataFrame(rows, "k1 long, k2 long, line binary").repartition(8)).collect()
+    found = {r["k1"]: r["bands"] for r in signed}
+    for start in (0, 2000, 4000):
+        met = [any(x == y for x, y in zip(found[i], found[i + 1])) for i in range(start, start + 2000, 2)]
+        assert sum(met) >= 990
+
+
 def brute_ngrams(texts, n=4, percent=85):
     def shingles(text):
         w = words(text)
