@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from guidescape.llm import chat, exact_dedup, line_dedup, lm, ngram_join, packing, pieces, quality, token_files, toxicity
+from guidescape.llm import chat, exact_dedup, language, line_dedup, lm, ngram_join, packing, pieces, quality, token_files, toxicity
 from guidescape.runtime import ensure_checkpoint_dir
 
 
@@ -68,11 +68,16 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_index(spark, path)
 
 
+def op12_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language.language_id(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         *(op1_exact_dedup, op2_quality_rules, op3_chat_collapse, op4_line_dedup, op5_ngram_join),
         *(op6_pieces, op7_toxicity, op8_packing, op9_lm_scores, op10_token_files),
+        op12_language_id,
     )
 }
 
