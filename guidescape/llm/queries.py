@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from guidescape.llm import chat, exact_dedup, language, line_dedup, lm, ngram_join, packing, pieces, quality, token_files, toxicity
+from guidescape.llm import chat, exact_dedup, hard_negatives, language, line_dedup, lm, ngram_join, packing, pieces, quality
+from guidescape.llm import token_files, toxicity
 from guidescape.runtime import ensure_checkpoint_dir
 
 
@@ -72,12 +73,17 @@ def op12_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.language_id(_table(spark, folder, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(_table(spark, folder, "embeddings"), label, F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         *(op1_exact_dedup, op2_quality_rules, op3_chat_collapse, op4_line_dedup, op5_ngram_join),
         *(op6_pieces, op7_toxicity, op8_packing, op9_lm_scores, op10_token_files),
-        op12_language_id,
+        *(op12_language_id, op13_hard_negatives),
     )
 }
 
@@ -148,4 +154,25 @@ ORACLE = {
         FROM kept JOIN (
             SELECT conv_id, block, string_agg(line, '' ORDER BY pos) AS text
             FROM (SELECT *, coalesce(floor(turn / 512.0), -1e18) AS block FROM placed) GROUP BY conv_id, block) USING (conv_id)""",
+    "op13_hard_negatives": """
+        WITH e AS (
+            SELECT row_number() OVER () AS r, vec_id,
+                   CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+              AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+        scores AS (
+            SELECT a.r AS anchor, a.vec_id AS anchor_id, a.label = c.label AS same, c.r, c.vec_id,
+                   CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+            FROM e a JOIN e c ON a.r <> c.r WHERE a.vec_id % 50 = 0),
+        positives AS (
+            SELECT * FROM scores WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) <= 5)
+        SELECT p.anchor_id, p.vec_id AS positive_id,
+               CAST(row_number() OVER (PARTITION BY p.anchor, p.r ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank,
+               n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+        FROM positives p JOIN scores n
+          ON n.anchor = p.anchor AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+        QUALIFY rank <= 3""",
 }
