@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from guidescape.llm import chat, exact_dedup, hard_negatives, language, line_dedup, lm, ngram_join, packing, pieces, quality
-from guidescape.llm import token_files, toxicity
+from guidescape.llm import repair, token_files, toxicity
 from guidescape.runtime import ensure_checkpoint_dir
 
 
@@ -69,6 +69,11 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_index(spark, path)
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    turns = _table(spark, folder, "conversations")
+    return repair.repair_report(turns, repair.damage(turns))
+
+
 def op12_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.language_id(_table(spark, folder, "documents"))
 
@@ -83,7 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         *(op1_exact_dedup, op2_quality_rules, op3_chat_collapse, op4_line_dedup, op5_ngram_join),
         *(op6_pieces, op7_toxicity, op8_packing, op9_lm_scores, op10_token_files),
-        *(op12_language_id, op13_hard_negatives),
+        *(op11_conversation_repair, op12_language_id, op13_hard_negatives),
     )
 }
 
