@@ -1,6 +1,7 @@
 """Aggregating the cell × gene matrix: group means, detection, size factors, dispersion, gene-list search.
 
-``expr`` is long: cell_id, louvain, guide, gene, value. With ``cells`` given, absent (cell, gene) rows count as zeros.
+``expr`` is long: cell_id, louvain, guide, gene, value. With ``cells`` given, absent (cell, gene) rows count as zeros; with
+``genes``, so do genes without any row. Zeros are added from counts, never as rows.
 """
 
 from __future__ import annotations
@@ -44,8 +45,16 @@ def cluster_mean_of_means(group_means: DataFrame) -> DataFrame:
     return genes.groupBy("louvain").agg(F.avg("_mean").alias("avg"))
 
 
-def grand_mean(expr: DataFrame) -> DataFrame:
-    return expr.agg(F.avg("value").alias("avg_tot"))
+def grand_mean(expr: DataFrame, cells: DataFrame | None = None, genes: DataFrame | None = None) -> DataFrame:
+    """Mean of all entries. For a sparse matrix the sum is divided by cells times genes."""
+    if cells is None:
+        return expr.agg(F.avg("value").alias("avg_tot"))
+    if genes is None:
+        raise ValueError("the mean of a sparse matrix needs its genes as well as its cells")
+    entries = total(cells, F.count(F.lit(1))) * total(genes, F.count(F.lit(1)))
+    return expr.agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("_sum")).select(
+        (F.col("_sum") / F.nullif(entries, F.lit(0))).alias("avg_tot")
+    )
 
 
 def numi_counts(cells: DataFrame) -> DataFrame:
@@ -54,16 +63,24 @@ def numi_counts(cells: DataFrame) -> DataFrame:
     return cells.groupBy("louvain", "guide").agg(F.sum(exact).cast("long").alias("numi_cov"))
 
 
-def genes_detected(expr: DataFrame, limit: float = DETECTION_LIMIT) -> DataFrame:
-    """Cells in which each gene is detected."""
+def _hits(expr: DataFrame, by: str, limit: float, name: str, every: DataFrame | None) -> DataFrame:
+    if limit < 0 and every is not None:
+        raise ValueError("below zero even the entries that a sparse matrix leaves out would be detected")
     hit = F.when(F.col("value") > limit, 1).otherwise(0)
-    return expr.groupBy("gene").agg(F.sum(hit).alias("num_cells_expressed"))
+    found = expr.groupBy(by).agg(F.sum(hit).alias(name))
+    if every is None:
+        return found
+    return every.select(by).distinct().join(found, by, "left").select(by, F.coalesce(name, F.lit(0).cast("long")).alias(name))
 
 
-def cells_detected(expr: DataFrame, limit: float = DETECTION_LIMIT) -> DataFrame:
-    """Genes detected in each cell."""
-    hit = F.when(F.col("value") > limit, 1).otherwise(0)
-    return expr.groupBy("cell_id").agg(F.sum(hit).alias("num_genes_expressed"))
+def genes_detected(expr: DataFrame, limit: float = DETECTION_LIMIT, genes: DataFrame | None = None) -> DataFrame:
+    """Cells in which each gene (of ``genes``) is detected."""
+    return _hits(expr, "gene", limit, "num_cells_expressed", genes)
+
+
+def cells_detected(expr: DataFrame, limit: float = DETECTION_LIMIT, cells: DataFrame | None = None) -> DataFrame:
+    """Genes detected in each cell (of ``cells``)."""
+    return _hits(expr, "cell_id", limit, "num_genes_expressed", cells)
 
 
 def use_for_ordering(detected: DataFrame, cells: DataFrame, fraction: float = 0.05) -> DataFrame:
@@ -85,20 +102,34 @@ def gene_detection_summary(detected: DataFrame) -> DataFrame:
 
 
 def size_factors(expr: DataFrame) -> DataFrame:
-    """Cell total over the geometric mean of all cell totals."""
-    totals = checkpointed(expr.groupBy("cell_id").agg(F.sum("value").alias("_total")))
+    """Cell total over the geometric mean of all cell totals. A cell without counts has none."""
+    totals = checkpointed(expr.groupBy("cell_id").agg(F.sum("value").alias("_total")).where("_total <> 0"))
     centre = total(totals, F.avg(F.log("_total")))
     return totals.select("cell_id", F.exp(F.log("_total") - centre).alias("size_factor"))
 
 
-def dispersion_table(expr: DataFrame, factors: DataFrame) -> DataFrame:
+def dispersion_table(expr: DataFrame, factors: DataFrame, genes: DataFrame | None = None) -> DataFrame:
     """Per gene: mean, variance and dispersion of size-normalised values.
 
-    Dispersion is the variance left after the counting noise, mean × average(1 / size factor), over the squared mean.
+    Dispersion is the variance left after the counting noise, mean × average(1 / size factor), over the squared mean. Cells are
+    those with a size factor; one without a row for a gene has a zero there.
     """
+    factors = factors.where("size_factor > 0")
     noise = total(factors, F.avg(1 / F.col("size_factor")))
+    cells = total(factors, F.count(F.lit(1)))
     scaled = expr.join(factors, "cell_id").withColumn("_y", F.col("value") / F.col("size_factor"))
-    moments = scaled.groupBy("gene").agg(F.avg("_y").alias("mean"), F.var_samp("_y").alias("variance"))
+    seen = scaled.groupBy("gene").agg(
+        F.count("_y").alias("_rows"), F.avg("_y").alias("_mean"), F.var_pop("_y").alias("_var")
+    )
+    if genes is not None:
+        seen = genes.select("gene").distinct().join(seen, "gene", "left").fillna(0, ["_rows", "_mean", "_var"])
+    rows, mean = F.col("_rows"), F.col("_mean")
+    squares = rows * F.col("_var") + mean * mean * rows * (F.col("_cells") - rows) / F.col("_cells")
+    moments = seen.withColumn("_cells", cells).select(
+        "gene",
+        (mean * rows / F.col("_cells")).alias("mean"),
+        (squares / F.nullif(F.col("_cells") - 1, F.lit(0))).alias("variance"),
+    )
     excess = F.col("variance") - noise * F.col("mean")
     return moments.withColumn("dispersion", excess / F.nullif(F.col("mean") * F.col("mean"), F.lit(0.0)))
 

@@ -85,6 +85,23 @@ def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[float]) -
     return out
 
 
+def grouped_quantiles(df: DataFrame, value: str, probabilities: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """As ``exact_quantiles`` for every group: ``by`` and _marks, an array with one quantile per probability."""
+    by, last = list(by), F.col("group_rows") - 1
+    ends = df.groupBy(*by).agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
+    inside = range_bucket(F.col("_lo"), F.col("_hi"))
+    ranked = tie_ranks(df.join(ends, by), value, inside, [*by, "_lo", "_hi"])
+    picks = []
+    for i, p in enumerate(probabilities):
+        for name, rank in (("a", F.floor(last * p)), ("b", F.least(F.floor(last * p) + 1, last))):
+            hit = (F.col("below") <= rank) & (rank < F.col("below") + F.col("ties"))
+            picks.append(F.max(F.when(hit, F.col(value))).alias(f"_{name}{i}"))
+    row = ranked.groupBy(*by).agg(*picks, F.max("group_rows").alias("group_rows"))
+    part = [last * p - F.floor(last * p) for p in probabilities]
+    marks = [F.col(f"_a{i}") + x * (F.col(f"_b{i}") - F.col(f"_a{i}")) for i, x in enumerate(part)]
+    return row.select(*by, F.array(*marks).alias("_marks"))
+
+
 def seeded_hash(key: str, seed: int) -> Column:
     """Hexadecimal digest of seed and key; its text order is its numeric order."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import StandardScaler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from guidescape.functions.tails import normal_upper
-from guidescape.operators.components import _centred
 from guidescape.operators.enrichment import bh_adjust
 from guidescape.runtime import checkpointed, hot_keys_of, hot_lookup, total
 
 
+def _centred(wide: DataFrame) -> DataFrame:
+    vectors = wide.withColumn("_raw", array_to_vector("values"))
+    scaler = StandardScaler(inputCol="_raw", outputCol="_centred", withMean=True, withStd=False)
+    return scaler.fit(vectors).transform(vectors)
+
+
 def morans_i(wide: DataFrame, genes: DataFrame, edges: DataFrame) -> DataFrame:
     """Statistic, one-sided p and q per gene under the randomisation variance; ``edges`` are directed and binary.
 

@@ -128,3 +128,54 @@ def trajectory_states(projected: DataFrame, tree: Tree, root: int) -> DataFrame:
         state[(min(v, before), max(v, before))] = into[v]
     numbers = [state[(min(e), max(e))] for e in tree.edges]
     return projected.withColumn("state", _per_edge(numbers))
+
+
+def _above(tree: Tree, root: int) -> dict[int, int | None]:
+    """Every vertex with the one before it on the way from the root."""
+    return dict(_walk(tree, root))
+
+
+def branch_paths(tree: Tree, root: int) -> list[tuple[int, int, int]]:
+    """(branch_point, side, edge): the edges that belong to each side of each branch point, seen from the root.
+
+    A side is one of the ways on from a branch point: all edges behind it, and the edges from the root up to the branch point,
+    which every side shares. Sides are numbered in walking order. A tree of k centres has at most k²/2 such rows.
+    """
+    above = _above(tree, root)
+    number = {(min(e), max(e)): i for i, e in enumerate(tree.edges)}
+
+    def edge(v: int) -> int:
+        return number[(min(v, above[v]), max(v, above[v]))]
+
+    children: dict[int, list[int]] = {v: [] for v in above}
+    for v, before in above.items():
+        if before is not None:
+            children[before].append(v)
+    out = []
+    for point in tree.branch_points():
+        if point not in above:
+            continue
+        shared, v = [], point
+        while above[v] is not None:
+            shared.append(edge(v))
+            v = above[v]
+        for side, child in enumerate(sorted(children[point])):
+            below, todo = [], [child]
+            while todo:
+                v = todo.pop()
+                below.append(edge(v))
+                todo += children[v]
+            out += [(point, side, e) for e in sorted(shared + below)]
+    return out
+
+
+def branch_members(projected: DataFrame, tree: Tree, root: int) -> DataFrame:
+    """branch_point, side, cell_id, pseudotime: the cells of every side of every branch point, in one table.
+
+    Cells before a branch point are on all its sides; cells of other branches are on none. ``projected`` is the outcome of
+    ``project_cells``. A tree without branch points gives no rows.
+    """
+    paths = projected.sparkSession.createDataFrame(branch_paths(tree, root), "branch_point int, side int, edge int")
+    timed = pseudotime(projected, tree, root).select("cell_id", "edge", "pseudotime")
+    # the paths have a row per side and edge of a tree of few centres, so they are small whatever the number of cells
+    return timed.join(F.broadcast(paths), "edge").select("branch_point", "side", "cell_id", "pseudotime")

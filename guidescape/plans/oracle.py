@@ -278,21 +278,22 @@ def _needs(text: str) -> set[str]:
     return set(re.findall(r"\w+", text)) & VIEWS.keys()
 
 
-def with_views(body: str) -> str:
-    """Prefix a query with exactly the views it uses, in order of dependence."""
+def with_views(body: str, others: dict[str, str] | None = None) -> str:
+    """Prefix a query with exactly the views it uses, in order of dependence; ``others`` take the place of views."""
+    views = VIEWS | (others or {})
     wanted: set[str] = set()
     todo = _needs(body)
     while todo:
         name = todo.pop()
         wanted.add(name)
-        todo |= (_needs(VIEWS[name]) - {name}) - wanted
+        todo |= (_needs(views[name]) - {name}) - wanted
     if not wanted:
         return body
     done: list[str] = []
     while len(done) < len(wanted):
-        ready = [n for n in VIEWS if n in wanted and n not in done and (_needs(VIEWS[n]) - {n}) <= set(done)]
+        ready = [n for n in views if n in wanted and n not in done and (_needs(views[n]) - {n}) <= set(done)]
         done += ready
-    parts = [f"{n} as {'materialized ' if n in _MATERIALISED else ''}({VIEWS[n]})" for n in done]
+    parts = [f"{n} as {'materialized ' if n in _MATERIALISED else ''}({views[n]})" for n in done]
     return "with recursive " + ",\n".join(parts) + "\n" + body
 
 
@@ -563,4 +564,36 @@ VIEWS["ids"] = r"""
                               + cast(regexp_extract(guide, '^N(\d+)\.(\d+)$', 2) as int) + 1 end as id
     from cells"""
 
+# χ² upper tail for any degrees of freedom, one minus the series of the lower one
+_CHI = """case when lr <= 0 then 1.0 else 1 - list_sum(list_transform(range(0, 400), lambda i:
+    exp((df / 2.0 + i) * ln(lr / 2) - lr / 2 - lgamma(df / 2.0 + i + 1)))) end"""
+
+
+def _levels_lr(fine: str, coarse: str = "cell_id is null") -> str:
+    """Means of the finer levels against those of the coarser ones that they lie in."""
+    return f"""(
+        select small.gene, small.n * ln(small.rss / big.rss) as lr, big.k - small.k as df
+        from (select gene, sum(n) as n, sum(rss) as rss, count(*) as k from (
+                  select gene, count(*) as n, var_pop(value) * count(*) as rss from expr group by gene, {coarse}) group by 1) small
+        join (select gene, sum(rss) as rss, count(*) as k from (
+                  select gene, var_pop(value) * count(*) as rss from expr group by gene, {fine}) group by 1) big using (gene))"""
+
+
+_BODIES |= {
+    "de_one_factor_guide": _gene_test(_levels_lr("guide"), _CHI, 6),
+    "de_one_factor_cluster_guide": _gene_test(_levels_lr("(louvain, guide)"), _CHI, 6),
+    "de_nested_absorbed": _gene_test(_levels_lr("(louvain, guide)", "louvain"), _CHI, 6),
+}
+
 ORACLE = {name: with_views(body) for name, body in _BODIES.items()}
+
+# The sparse matrix is the dense one with its small entries set to zero, and its questions are the dense ones.
+_WITH_ZEROS = {
+    "expr": VIEWS["expr"].replace("v[i] as value", "case when v[i] > 0.05 then v[i] else 0 end as value"),
+    "expr_pos": "select cell_id, louvain, guide, gene, value from expr",
+}
+SPARSE = (
+    *("grand_mean", "genes_detected", "cells_detected", "gene_detection_summary", "size_factors", "dispersion_table"),
+    *("de_one_factor", "de_nested", "de_pseudotime", "branch_test", "pseudotime_profile", "branch_profile"),
+)
+ORACLE |= {f"{name}_sparse": with_views(_BODIES[name], _WITH_ZEROS) for name in SPARSE}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -611,7 +612,8 @@ def _tree(v: Views):
     tree = trajectory.fit_tree(v.matrix, 10)
     placed = trajectory.project_cells(v.matrix, tree)
     typed = placed.join(v.matrix.select("cell_id", "louvain"), "cell_id")
-    return tree, placed, trajectory.root_vertex(typed, "louvain", 0).first()["vertex"]
+    root = trajectory.root_vertex(typed, "louvain", 0).first()
+    return tree, placed, root["vertex"] if root else 0
 
 
 @query
@@ -704,3 +706,146 @@ def gene_groups(v: Views) -> DataFrame:
 @query
 def branch_profile(v: Views) -> DataFrame:
     return _rounded(nested.pseudotime_profile(v.expr, v.timed, by=["branch"]), 6, "mean", "z")
+
+
+@query
+def de_one_factor_guide(v: Views) -> DataFrame:
+    return _rounded(nested.de_one_factor(v.expr, "guide"), 6, "pval", "qval")
+
+
+@query
+def de_one_factor_cluster_guide(v: Views) -> DataFrame:
+    both = v.expr.withColumn("cluster_guide", cluster_guide_key(F.col("louvain"), F.col("guide")))
+    return _rounded(nested.de_one_factor(both, "cluster_guide"), 6, "pval", "qval")
+
+
+@query
+def de_nested_absorbed(v: Views) -> DataFrame:
+    """Cluster against cluster and guide together, whose levels are absorbed."""
+    cells = v.matrix.select("cell_id", "louvain", cluster_guide_key(F.col("louvain"), F.col("guide")).alias("cluster_guide"))
+    louvain = nested.factor_term(cells, "louvain")
+    out = nested.de_nested(v.expr, cells, [louvain], [], absorbed="cluster_guide", absorbed_in="full")
+    return _rounded(out, 6, "pval", "qval")
+
+
+# --- from the matrix to genes along the tree and at its branches --------------------------------------------------
+
+
+@dataclass
+class _Chain:
+    """Components of the cells, their tree, and every cell's place on it."""
+
+    members: DataFrame
+    timed: DataFrame
+
+
+def _chain(v: Views) -> _Chain:
+    points = checkpointed(components.pca_embedding(v.matrix, 20))
+    tree = trajectory.fit_tree(points, 10)
+    placed = checkpointed(trajectory.project_cells(points, tree))
+    typed = placed.join(v.matrix.select("cell_id", "guide"), "cell_id")
+    first = trajectory.root_vertex(typed, "guide", CONTROL).first()
+    root = first["vertex"] if first else 0
+    timed = trajectory.pseudotime(placed, tree, root).select("cell_id", "pseudotime")
+    return _Chain(checkpointed(trajectory.branch_members(placed, tree, root)), checkpointed(timed))
+
+
+@query
+def trajectory_genes(v: Views) -> DataFrame:
+    """Genes that change along the tree's pseudotime at q < 1e-4."""
+    return _rounded(nested.de_pseudotime(v.expr, _chain(v).timed), 6, "pval", "qval")
+
+
+@query
+def branch_members(v: Views) -> DataFrame:
+    return _chain(v).members
+
+
+@query
+def branch_tests(v: Views) -> DataFrame:
+    return _rounded(nested.branch_tests(v.expr, _chain(v).members), 6, "pval", "qval")
+
+
+@query
+def branch_profiles(v: Views) -> DataFrame:
+    """Profiles on every side of every branch point, of the genes that differ there at q < 1e-4."""
+    members = _chain(v).members
+    found = nested.branch_tests(v.expr, members, cutoff=1e-4).select("branch_point", "gene")
+    profile = nested.pseudotime_profile(
+        v.expr, members, by=["branch_point", "side"], within=["branch_point"], genes=v.genes
+    )
+    return profile.join(checkpointed(found), ["branch_point", "gene"], "left_semi")
+
+
+# --- the same on a matrix without its zeros ------------------------------------------------------------------------
+
+
+def _sparse(name: str, *digits):
+    def register(fn: Callable[[Views, DataFrame], DataFrame]):
+        query(lambda v: _rounded(fn(v, v.sparse.long()), *digits) if digits else fn(v, v.sparse.long()), f"{name}_sparse")
+        return fn
+
+    return register
+
+
+@_sparse("grand_mean", 6, "avg_tot")
+def _(v: Views, expr: DataFrame) -> DataFrame:
+    return expression.grand_mean(expr, v.matrix, v.genes)
+
+
+@_sparse("genes_detected")
+def _(v: Views, expr: DataFrame) -> DataFrame:
+    return expression.genes_detected(expr, genes=v.genes)
+
+
+@_sparse("cells_detected")
+def _(v: Views, expr: DataFrame) -> DataFrame:
+    return expression.cells_detected(expr, cells=v.matrix)
+
+
+@_sparse("gene_detection_summary", 6, "min", "q1", "median", "q3", "max", "mean")
+def _(v: Views, expr: DataFrame) -> DataFrame:
+    return expression.gene_detection_summary(expression.genes_detected(expr, genes=v.genes))
+
+
+@_sparse("size_factors", 6, "size_factor")
+def _(v: Views, expr: DataFrame) -> DataFrame:
+    return expression.size_factors(expr)
+
+
+@_sparse("dispersion_table", 6, "mean", "variance", "dispersion")
+def _(v: Views, expr: DataFrame) -> DataFrame:
+    return expression.dispersion_table(expr, expression.size_factors(expr), v.genes)
+
+
+@_sparse("de_one_factor", 8, "pval", "qval")
+def _(v: Views, expr: DataFrame) -> DataFrame:
+    return nested.de_one_factor(expr, "louvain", cells=v.matrix, genes=v.genes)
+
+
+@_sparse("de_nested", 6, "pval", "qval")
+def _(v: Views, expr: DataFrame) -> DataFrame:
+    third = F.concat_ws("-", F.col("louvain").cast("string"), (F.col("cell_id") % 3).cast("string"))
+    cells = v.timed.withColumn("third", third)
+    reduced, extra = nested.factor_term(cells, "louvain"), nested.factor_term(cells, "third")
+    return nested.de_nested(expr, cells, [reduced], [extra], genes=v.genes)
+
+
+@_sparse("de_pseudotime", 6, "pval", "qval")
+def _(v: Views, expr: DataFrame) -> DataFrame:
+    return nested.de_pseudotime(expr, v.timed, cutoff=None, genes=v.genes)
+
+
+@_sparse("branch_test", 6, "pval", "qval")
+def _(v: Views, expr: DataFrame) -> DataFrame:
+    return nested.branch_test(expr, v.timed, genes=v.genes)
+
+
+@_sparse("pseudotime_profile", 6, "mean", "z")
+def _(v: Views, expr: DataFrame) -> DataFrame:
+    return nested.pseudotime_profile(expr, v.timed, genes=v.genes)
+
+
+@_sparse("branch_profile", 6, "mean", "z")
+def _(v: Views, expr: DataFrame) -> DataFrame:
+    return nested.pseudotime_profile(expr, v.timed, by=["branch"], genes=v.genes)

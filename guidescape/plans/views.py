@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from guidescape.operators.clean import with_guide
 from guidescape.operators.counts import cluster_guide_counts
+from guidescape.operators.sparse import CellMatrix
 
 CLUSTERS = [0, 1, 2, 3, 4]
 CONTROL = "0"
 # Names on the guide axis that no cell carries, so that completed profiles always have gaps to fill.
 UNSEEN = ["Z0.0", "Z0.1"]
+# Entries of the sparse matrix are those above this.
+SPARSE_LIMIT = 0.05
 
 
 def _cluster_of(priority: str):
@@ -145,6 +148,12 @@ class Views:
             "cell_id", "louvain", "guide", F.concat(F.lit("g"), "pos").alias("gene"), "value"
         )
 
+    @property
+    def sparse(self) -> CellMatrix:
+        """The matrix with only its entries above ``SPARSE_LIMIT``."""
+        kept = F.transform("values", lambda v: F.when(v > SPARSE_LIMIT, v).otherwise(0.0))
+        return CellMatrix.from_dense(self.matrix.withColumn("values", kept), self.genes)
+
     @property
     def expr_pos(self) -> DataFrame:
         return self.expr.withColumn("value", F.col("value") + 1)
