@@ -1,9 +1,11 @@
 """Exact neighbour search over an embedding, without comparing every pair of rows.
 
-Points are grouped around a bounded set of pivots; groups are cut into blocks of a fixed expected size, so one dense
-region never becomes one task. A query only travels to pivot groups that the triangle inequality cannot rule out
-(the pivot method for k-nearest-neighbour joins, Lu et al. 2012), and only its best candidates leave a block. The answer
-does not depend on the number of pivots or blocks.
+Points are grouped around a bounded set of pivots, the centres of a bounded sample; groups are cut into blocks of a fixed
+expected size, so one dense region never becomes one task. A query only travels to pivot groups that the triangle inequality
+cannot rule out (the pivot method for k-nearest-neighbour joins, Lu et al. 2012). Inside a block a pair's distance is bounded
+from below by its distance along the sample's first principal axes together with the difference of what the two points have
+off those axes; only pairs that this bound lets through are measured, and only a query's best candidates leave a block. The
+answer does not depend on sample, pivots, axes or blocks.
 
 ``points`` has ``cell_id`` and ``values`` (array of numbers).
 """
@@ -16,12 +18,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, Window, functions as F
 
 from guidescape.runtime import checkpointed
 
-BLOCK_ROWS = 512
+BLOCK_ROWS = 256
 MAX_PIVOTS = 1024
+SAMPLE = 1024  # points at least that pivots and axes are taken from, as far as they hold no more than SAMPLE_VALUES numbers
+SAMPLE_VALUES = 1 << 22
+AXES = 16
 # guards the pruning comparisons against rounding; candidates are always decided on exact distances
 SLACK = 1e-9
 
@@ -32,6 +38,7 @@ class Layout:
 
     blocks: DataFrame  # pivot, chunk, ids, vectors, weights
     pivots: np.ndarray  # pivot positions
+    frame: tuple[np.ndarray, np.ndarray]  # mean of the sample and its first principal axes
     radius: np.ndarray  # farthest member of each pivot
     held: np.ndarray  # members of each pivot
     chunks: np.ndarray  # blocks of each pivot
@@ -52,6 +59,51 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _centres(sample: np.ndarray, k: int) -> np.ndarray:
+    """``k`` centres of a sample: points far from each other, then moved to the means of what is nearest to them."""
+    chosen, gaps = [0], _distances(sample, sample[:1])[:, 0]
+    while len(chosen) < min(k, len(sample)):
+        chosen.append(int(gaps.argmax()))
+        gaps = np.minimum(gaps, _distances(sample, sample[chosen[-1:]])[:, 0])
+    centres = sample[chosen]
+    for _ in range(4):
+        own = _distances(sample, centres).argmin(axis=1)
+        held = np.bincount(own, minlength=len(centres))
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, sample)
+        centres = np.where(held[:, None] > 0, sums / np.maximum(held, 1)[:, None], centres)
+    return centres
+
+
+def _principal_axes(sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sample's mean, and orthonormal columns along which it varies most."""
+    middle = sample.mean(axis=0)
+    _, _, vt = np.linalg.svd(sample - middle, full_matrices=False)
+    return middle, vt[:AXES].T
+
+
+def _near(a: np.ndarray, b: np.ndarray, frame: tuple[np.ndarray, np.ndarray], reach: np.ndarray) -> np.ndarray:
+    """Distances of the pairs that may lie within ``reach`` of their row; infinite for those that a lower bound rules out."""
+    middle, axes = frame
+    points = a, b
+    a, b = a - middle, b - middle
+    along_a, along_b = a @ axes, b @ axes
+    off_a = np.sqrt(np.maximum((a**2).sum(axis=1) - (along_a**2).sum(axis=1), 0.0))
+    off_b = np.sqrt(np.maximum((b**2).sum(axis=1) - (along_b**2).sum(axis=1), 0.0))
+    square = (along_a**2).sum(axis=1)[:, None] + (along_b**2).sum(axis=1)[None, :] - 2 * along_a @ along_b.T
+    square += (off_a[:, None] - off_b[None, :]) ** 2
+    # rounding: squares and roots of numbers of this size are off by far less
+    doubt = 1e-7 * ((a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None, :])
+    rows, columns = np.nonzero(square - doubt <= ((reach * (1 + SLACK) + SLACK) ** 2)[:, None])
+    out = np.full((len(a), len(b)), np.inf)
+    step = max(1, 4_000_000 // max(1, a.shape[1]))
+    for i in range(0, len(rows), step):
+        r, c = rows[i : i + step], columns[i : i + step]
+        gap = points[0][r] - points[1][c]
+        out[r, c] = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+    return out
+
+
 def lay_out(points: DataFrame, block_rows: int = BLOCK_ROWS, max_pivots: int = MAX_PIVOTS) -> Layout:
     """Assign every point to its nearest pivot and pack the groups into blocks.
 
@@ -63,10 +115,12 @@ def lay_out(points: DataFrame, block_rows: int = BLOCK_ROWS, max_pivots: int = M
         (F.col("weight") if "weight" in points.columns else F.lit(0.0)).cast("double").alias("weight"),
     )
     id_type = dict(slim.dtypes)["cell_id"]
-    n = slim.count()
+    n, dim = slim.agg(F.count(F.lit(1)), F.max(F.size("values"))).first()
     wanted = max(1, min(max_pivots, math.ceil(n / block_rows)))
-    seeds = slim.orderBy(F.xxhash64("cell_id"), "cell_id").limit(wanted).select("values").collect()
-    pivots = _matrix([r["values"] for r in seeds])
+    size = max(1, min(max(wanted, SAMPLE), SAMPLE_VALUES // max(dim or 1, 1)))
+    sample = slim.orderBy(F.xxhash64("cell_id"), "cell_id").limit(size).select("values").collect()
+    sample = _matrix([r["values"] for r in sample])
+    pivots, frame = _centres(sample, wanted), _principal_axes(sample)
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -99,7 +153,7 @@ def lay_out(points: DataFrame, block_rows: int = BLOCK_ROWS, max_pivots: int = M
             F.transform("_m", lambda m: m["weight"]).alias("weights"),
         )
     )
-    return Layout(blocks, pivots, radius, held, chunks, id_type)
+    return Layout(blocks, pivots, frame, radius, held, chunks, id_type)
 
 
 def _search(
@@ -107,12 +161,14 @@ def _search(
     bound: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray],
     visit: Callable[..., pd.DataFrame],
     schema: str,
+    measured: Accumulator | None = None,
 ) -> DataFrame:
     """Send each query to the pivot groups within its own bound and let ``visit`` answer block by block.
 
-    ``bound(vectors, weights, pivot_distances)`` gives an upper bound of the distance that matters for each query.
+    ``bound(vectors, weights, pivot_distances)`` gives an upper bound of the distance that matters for each query. Distances
+    beyond it may come as infinite. ``measured`` counts the pairs whose distance was worked out.
     """
-    pivots, radius, held, chunks = layout.pivots, layout.radius, layout.held, layout.chunks
+    pivots, radius, held, chunks, frame = layout.pivots, layout.radius, layout.held, layout.chunks, layout.frame
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -131,33 +187,46 @@ def _search(
                             "q_ids": [list(ids[rows])],
                             "q_vectors": [[list(v) for v in matrix[rows]]],
                             "q_weights": [list(weight[rows])],
+                            "q_reach": [list(reach[rows])],
                         }
                     )
 
     routed = layout.blocks.mapInPandas(
         route,
         f"pivot int, n_chunks int, q_ids array<{layout.id_type}>, q_vectors array<array<double>>, "
-        "q_weights array<double>",
+        "q_weights array<double>, q_reach array<double>",
     )
     visits = routed.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1))).drop("n_chunks")
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples(index=False):
+                gaps = _near(_matrix(row.q_vectors), _matrix(row.vectors), frame, np.asarray(row.q_reach, dtype=float))
+                if measured is not None:
+                    measured.add(int(np.isfinite(gaps).sum()))
                 yield visit(
                     np.asarray(row.q_ids),
                     np.asarray(row.q_weights, dtype=float),
                     np.asarray(row.ids),
                     np.asarray(row.weights, dtype=float),
-                    _distances(_matrix(row.q_vectors), _matrix(row.vectors)),
+                    gaps,
                 )
 
     joined = visits.join(layout.blocks, ["pivot", "chunk"]).drop("pivot", "chunk")
     return joined.mapInPandas(answer, schema)
 
 
-def knn(points: DataFrame, k: int, block_rows: int = BLOCK_ROWS, max_pivots: int = MAX_PIVOTS) -> DataFrame:
-    """The ``k`` nearest other cells of every cell: src, dst, distance, rank. Ties go to the smaller id."""
+def knn(
+    points: DataFrame,
+    k: int,
+    block_rows: int = BLOCK_ROWS,
+    max_pivots: int = MAX_PIVOTS,
+    measured: Accumulator | None = None,
+) -> DataFrame:
+    """The ``k`` nearest other cells of every cell: src, dst, distance, rank. Ties go to the smaller id.
+
+    ``measured``, an accumulator, counts the pairs whose distance was worked out.
+    """
     layout = lay_out(points, block_rows, max_pivots)
     radius, held = layout.radius, layout.held
 
@@ -172,6 +241,8 @@ def knn(points: DataFrame, k: int, block_rows: int = BLOCK_ROWS, max_pivots: int
         by_pivots = np.where(enough[rows, first], far[rows, order[rows, first]], np.inf)
         if len(matrix) <= k:
             return by_pivots
+        if measured is not None:
+            measured.add(len(matrix) ** 2)
         inside = np.partition(_distances(matrix, matrix), k, axis=1)[:, k]
         return np.minimum(by_pivots, inside)
 
@@ -185,7 +256,7 @@ def knn(points: DataFrame, k: int, block_rows: int = BLOCK_ROWS, max_pivots: int
         return out[np.isfinite(distance)]
 
     kind = layout.id_type
-    found = _search(layout, bound, visit, f"src {kind}, dst {kind}, distance double")
+    found = _search(layout, bound, visit, f"src {kind}, dst {kind}, distance double", measured)
     order = Window.partitionBy("src").orderBy("distance", "dst")
     return checkpointed(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
 
@@ -193,9 +264,12 @@ def knn(points: DataFrame, k: int, block_rows: int = BLOCK_ROWS, max_pivots: int
 def local_density(
     points: DataFrame, dc: float, radius: float | None = None, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """rho = Σ exp(−(d/dc)²) over other cells within ``radius`` (default: where the kernel falls below 1e-16)."""
-    reach = 6.1 * dc if radius is None else radius
+    """rho = Σ exp(−(d/dc)²) over other cells, or over those within ``radius``.
+
+    Without ``radius`` pairs are left out only where even all cells together would add less than 1e-16 to a sum.
+    """
     layout = lay_out(points, block_rows)
+    reach = dc * math.sqrt(math.log(max(layout.held.sum(), 1)) + 16 * math.log(10)) if radius is None else radius
 
     def visit(q_ids, q_weights, ids, weights, gaps):
         other = (gaps <= reach) & (q_ids[:, None] != ids[None, :])

@@ -159,8 +159,7 @@ VIEWS = {
         from knn e""",
     "both_ways": "select src, dst from knn union select dst, src from knn",
     "rho": """
-        select src as cell_id, round(sum(case when d <= 6.1 * cast(0.6 as double)
-                                         then exp(-power(d / cast(0.6 as double), 2)) else 0 end), 10) as rho
+        select src as cell_id, round(sum(exp(-power(d / cast(0.6 as double), 2))), 10) as rho
         from dist group by 1""",
     "centred": "select cell_id, gene, value - avg(value) over (partition by gene) as z from expr",
     "near_z": "select gene, dst, z as zi from knn join centred on cell_id = src",

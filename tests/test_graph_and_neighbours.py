@@ -43,6 +43,34 @@ def test_neighbours_equal_brute_force(spark, name, k, block):
         assert got[i] == order[:k]
 
 
+def test_most_pairs_are_ruled_out_on_clustered_data(spark):
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(12, 64))
+    matrix = centres[rng.integers(0, 12, 4_000)] + 0.1 * rng.normal(size=(4_000, 64))
+    measured = spark.sparkContext.accumulator(0)
+    got = neighbours.knn(points_frame(spark, matrix), 4, measured=measured).toPandas()
+    share = measured.value / 4_000**2
+    print(f"share of pairs measured: {share:.3f}")
+    assert share < 0.2
+    for i in range(0, 4_000, 397):
+        own = np.sqrt(((matrix - matrix[i]) ** 2).sum(axis=1))
+        own[i] = np.inf
+        assert got[got["src"] == i].sort_values("rank")["dst"].tolist() == np.argsort(own, kind="stable")[:4].tolist()
+
+
+def test_bounds_let_every_near_pair_through():
+    rng = np.random.default_rng(13)
+    for offset in (0.0, 1e4):
+        a, b = rng.normal(size=(60, 30)) + offset, rng.normal(size=(50, 30)) + offset
+        frame = neighbours._principal_axes(a)
+        exact = neighbours._distances(a, b)
+        reach = np.quantile(exact, 0.2, axis=1)
+        found = neighbours._near(a, b, frame, reach)
+        inside = exact <= reach[:, None]
+        assert (found[inside] == exact[inside]).all()
+        assert np.isinf(found).any()
+
+
 def test_fewer_points_than_neighbours(spark):
     got = neighbours.knn(points_frame(spark, np.array([[0.0], [1.0], [3.0]])), 10).toPandas()
     assert len(got) == 6
