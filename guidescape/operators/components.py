@@ -57,7 +57,7 @@ def _inputs(rows: DataFrame) -> list[str]:
     return ["indices", "values"] if "indices" in rows.columns else ["values"]
 
 
-def _summed(rows: DataFrame, width: int, height: int, columns: int, add: Callable[[np.ndarray, np.ndarray], None]) -> np.ndarray:
+def summed(rows: DataFrame, width: int, height: int, columns: int, add: Callable[[np.ndarray, np.ndarray], None]) -> np.ndarray:
     """Sum over all cells of what ``add`` puts into a height × columns array, one array per task, added up by slices."""
     inputs = _inputs(rows)
     slice_rows = max(1, SLICE // columns)
@@ -136,13 +136,13 @@ def principal_components(rows: DataFrame, k: int, width: int | None = None) -> C
     def total(out: np.ndarray, x: np.ndarray) -> None:
         out[:, 0] += x.sum(axis=0)
 
-    mean = _summed(rows, width, width, 1, total)[:, 0] / n
+    mean = summed(rows, width, width, 1, total)[:, 0] / n
 
     def squares(out: np.ndarray, x: np.ndarray) -> None:
         out += ((x - mean) ** 2).sum()
 
     scale = max(n - 1, 1)
-    everything = float(_summed(rows, width, 1, 1, squares)[0, 0]) / scale
+    everything = float(summed(rows, width, 1, 1, squares)[0, 0]) / scale
 
     def multiply(block: np.ndarray) -> np.ndarray:
         sent = rows.sparkSession.sparkContext.broadcast((block, mean @ block))  # genes × a thin block
@@ -153,7 +153,7 @@ def principal_components(rows: DataFrame, k: int, width: int | None = None) -> C
             out[:-1] += x.T @ p
             out[-1] += p.sum(axis=0)
 
-        sums = _summed(rows, width, width + 1, block.shape[1], add)
+        sums = summed(rows, width, width + 1, block.shape[1], add)
         sent.unpersist()
         return (sums[:-1] - np.outer(mean, sums[-1])) / scale
 

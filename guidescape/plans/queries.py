@@ -14,6 +14,7 @@ from guidescape.operators import (
     components,
     correlation,
     counts,
+    curves,
     density,
     enrichment,
     expression,
@@ -609,7 +610,7 @@ def density_peaks(v: Views) -> DataFrame:
 
 
 def _tree(v: Views):
-    tree = trajectory.fit_tree(v.matrix, 10)
+    tree = trajectory.principal_tree(v.matrix, 10)
     placed = trajectory.project_cells(v.matrix, tree)
     typed = placed.join(v.matrix.select("cell_id", "louvain"), "cell_id")
     root = trajectory.root_vertex(typed, "louvain", 0).first()
@@ -741,7 +742,7 @@ class _Chain:
 
 def _chain(v: Views) -> _Chain:
     points = checkpointed(components.pca_embedding(v.matrix, 20))
-    tree = trajectory.fit_tree(points, 10)
+    tree = trajectory.principal_tree(points, 10)
     placed = checkpointed(trajectory.project_cells(points, tree))
     typed = placed.join(v.matrix.select("cell_id", "guide"), "cell_id")
     first = trajectory.root_vertex(typed, "guide", CONTROL).first()
@@ -777,6 +778,20 @@ def branch_profiles(v: Views) -> DataFrame:
     return profile.join(checkpointed(found), ["branch_point", "gene"], "left_semi")
 
 
+@query
+def fitted_curves(v: Views) -> DataFrame:
+    """Spline curves along the tree's pseudotime of the genes that change along it."""
+    timed = _chain(v).timed
+    changing = checkpointed(nested.de_pseudotime(v.expr, timed).select("gene"))
+    return curves.fitted_curves(v.expr.join(changing, "gene", "left_semi"), timed)
+
+
+@query
+def gene_tree_groups(v: Views) -> DataFrame:
+    """Genes grouped by the tree of their fitted curves along a given pseudotime."""
+    return curves.tree_groups(checkpointed(curves.fitted_curves(v.expr, v.timed)), len(CLUSTERS))
+
+
 # --- the same on a matrix without its zeros ------------------------------------------------------------------------
 
 

@@ -41,6 +41,41 @@ def test_paths_from_a_root_that_branches():
     assert trajectory.branch_paths(line, 0) == []
 
 
+def off_skeleton(tree, arms):
+    """Mean distance of the tree's centres to the planted arms, and the tree's length against theirs."""
+    best = np.full(len(tree.centres), np.inf)
+    for arm in arms:
+        along = np.clip(tree.centres @ arm / (arm @ arm), 0, 1)
+        best = np.minimum(best, np.linalg.norm(tree.centres - along[:, None] * arm, axis=1))
+    return best.mean(), sum(tree.length(e) for e in tree.edges)
+
+
+def test_principal_tree_recovers_a_planted_fork(spark):
+    rng = np.random.default_rng(21)
+    arms = [np.array([0.0, -6.0, 0.0]), np.array([5.0, 4.0, 0.0]), np.array([-5.0, 4.0, 0.0])]
+    x = np.concatenate([rng.random((500, 1)) * arm for arm in arms]) + rng.normal(size=(1500, 3)) * 0.9
+    points = spark.createDataFrame(pd.DataFrame({"cell_id": range(1500), "values": x.tolist()})).repartition(4)
+    history = []
+    tree = trajectory.principal_tree(points, 18, history=history)
+    assert len(history) > 2 and all(b <= a + 1e-9 * abs(a) for a, b in zip(history, history[1:]))
+    plain = trajectory.fit_tree(points, 18)
+    away, length = off_skeleton(tree, arms)
+    away_plain, length_plain = off_skeleton(plain, arms)
+    longest = sum(np.linalg.norm(a) for a in arms)
+    assert away < 0.5 * away_plain and away < 0.3
+    assert abs(length / longest - 1) < 0.3 < length_plain / longest - 1
+    points_of = tree.branch_points()
+    assert len(points_of) == 1 and np.linalg.norm(tree.centres[points_of[0]]) < 1.5
+    assert len(plain.branch_points()) > 1
+
+
+def test_principal_tree_of_few_or_equal_cells(spark):
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(6)], "cell_id long, values array<double>")
+    assert np.allclose(trajectory.principal_tree(same, 3).centres, [1.0, 2.0])
+    two = spark.createDataFrame([(0, [0.0]), (1, [1.0])], "cell_id long, values array<double>")
+    assert len(trajectory.principal_tree(two, 2).edges) == 1
+
+
 @pytest.fixture(scope="module")
 def planted(spark):
     rng = np.random.default_rng(4)
