@@ -161,9 +161,13 @@ def genelist_cells(expr: DataFrame, gene_lists: DataFrame, limit: float = DETECT
 
 def genelist_enrichment(hits: DataFrame, cells: DataFrame) -> DataFrame:
     """Does a cluster hold more of a list's cells than chance? Hypergeometric upper tail per (list, cluster)."""
+    return enrichment_of_counts(hits.groupBy("list_id", "louvain").agg(F.count(F.lit(1)).alias("n")), cells)
+
+
+def enrichment_of_counts(per: DataFrame, cells: DataFrame) -> DataFrame:
+    """As ``genelist_enrichment``, from the number ``n`` of a list's cells in a cluster."""
     sizes = cells.groupBy("louvain").agg(F.count(F.lit(1)).alias("m"))
     everything = total(sizes, F.sum("m"))
-    per = hits.groupBy("list_id", "louvain").agg(F.count(F.lit(1)).alias("n"))
     drawn = per.groupBy("list_id").agg(F.sum("n").alias("k"))
     rows = per.join(drawn, "list_id").join(sizes, "louvain").withColumn("_rest", everything - F.col("m"))
     tails = hypergeom_tails(F.col("n"), F.col("m"), F.col("_rest"), F.col("k"))

@@ -106,6 +106,50 @@ def de_one_factor(
     return _finish(scored if genes is None else genes.select("gene").distinct().join(scored, "gene", "left"))
 
 
+def cluster_markers(
+    expr: DataFrame, k: int = 5, alpha: float = 0.05, cells: DataFrame | None = None
+) -> DataFrame:
+    """louvain, gene, pval, qval, rank: the ``k`` genes most clearly higher in a cluster than in all others together.
+
+    All clusters are tested at once, each against the rest, from sums per (gene, cluster); q-values are each cluster's own, and
+    only genes below ``alpha`` are listed. With ``cells`` absent (cell, gene) rows count as zeros.
+    """
+    per = expr.groupBy("gene", "louvain").agg(
+        F.count("value").alias("_rows"), F.avg("value").alias("_mean"), F.var_pop("value").alias("_var")
+    )
+    if cells is None:
+        per = per.withColumn("n", F.col("_rows"))
+    else:
+        sizes = cells.groupBy("louvain").agg(F.count(F.lit(1)).alias("n"))
+        per = sizes.join(per.select("gene").distinct().withColumn("louvain", F.explode(total(sizes, F.collect_list("louvain")))), "louvain").join(
+            per, ["gene", "louvain"], "left"
+        ).fillna(0, ["_rows", "_mean", "_var"])
+    rows, mean = F.col("_rows"), F.col("_mean")
+    squares = rows * F.col("_var") + mean * mean * rows * (F.col("n") - rows) / F.col("n")
+    per = checkpointed(per.select("gene", "louvain", "n", (mean * rows / F.col("n")).alias("mean"), squares.alias("within")))
+    whole = per.groupBy("gene").agg(
+        F.sum("n").alias("_all"),
+        F.sum(F.col("n") * F.col("mean")).alias("_sum"),
+        F.sum("within").alias("_within"),
+    ).withColumn("_centre", F.col("_sum") / F.col("_all"))
+    spread = per.join(whole.select("gene", "_centre"), "gene").groupBy("gene").agg(
+        F.sum(F.col("n") * F.pow(F.col("mean") - F.col("_centre"), 2)).alias("_between")
+    )
+    rest = F.col("_all") - F.col("n")
+    others = (F.col("_sum") - F.col("n") * F.col("mean")) / F.nullif(rest, F.lit(0))
+    parted = F.col("n") * rest / F.col("_all") * F.pow(F.col("mean") - others, 2)
+    null = F.col("_within") + F.col("_between")
+    full = null - parted
+    tested = per.join(whole, "gene").join(spread, "gene").withColumns(
+        {"_up": F.col("mean") > others, "_lr": F.when(full > 1e-12 * null, F.col("_all") * F.log(null / full))}
+    )
+    tested = checkpointed(tested.select("louvain", "gene", "_up", "_lr").withColumn("pval", chi2_upper(F.col("_lr"), F.lit(1))))
+    own = Window.partitionBy("louvain").orderBy(F.desc("_lr"), "gene")
+    kept = bh_adjust(tested, "pval", ["louvain"]).where(F.col("_up") & (F.col("qval") < alpha))
+    ranked = kept.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
+    return ranked.select("louvain", "gene", "pval", "qval", "rank")
+
+
 # --- designs: rows of (cell_id, entries array<struct<j int, x double>>), only non-zero entries -----------------------
 
 

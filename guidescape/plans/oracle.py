@@ -578,7 +578,30 @@ def _levels_lr(fine: str, coarse: str = "cell_id is null") -> str:
                   select gene, var_pop(value) * count(*) as rss from expr group by gene, {fine}) group by 1) big using (gene))"""
 
 
+VIEWS |= {
+    "one_against_rest": """
+        select louvain, gene, n * ln(tss / (tss - parted)) as lr, mean > rest as up from (
+            select g.louvain, g.gene, a.n, a.tss, g.mean, (a.s - g.n * g.mean) / (a.n - g.n) as rest,
+                   cast(g.n as double) * (a.n - g.n) / a.n * power(g.mean - (a.s - g.n * g.mean) / (a.n - g.n), 2) as parted
+            from groups g
+            join (select gene, count(*) as n, sum(value) as s, var_pop(value) * count(*) as tss from expr group by 1) a
+            using (gene))""",
+    "markers": f"""
+        select louvain, gene, p as pval, q as qval,
+               row_number() over (partition by louvain order by lr desc, gene) as rank
+        from (select *, least(1.0, min(p * n / r) over (partition by louvain order by p desc)) as q
+              from (select *, count(*) over (partition by louvain) as n,
+                           count(*) over (partition by louvain order by p) as r
+                    from (select *, 1 - {_erf('sqrt(lr / 2)')} as p from one_against_rest)))
+        where up and q < 0.99""",
+}
+
 _BODIES |= {
+    "cluster_markers": f"select louvain, gene, {_round(6, 'pval', 'qval')}, cast(rank as int) as rank from markers where rank <= 5",
+    "genelist_cells_indexed": "select * from list_hits",
+    "expression_of_cells": f"""
+        select cell_id, louvain, guide, gene, {_round(6, 'value')} from expr
+        where guide in ('G1.1', 'G2.1') and louvain < 2""",
     "de_one_factor_guide": _gene_test(_levels_lr("guide"), _CHI, 6),
     "de_one_factor_cluster_guide": _gene_test(_levels_lr("(louvain, guide)"), _CHI, 6),
     "de_nested_absorbed": _gene_test(_levels_lr("(louvain, guide)", "louvain"), _CHI, 6),
@@ -586,6 +609,16 @@ _BODIES |= {
 
 ORACLE = {name: with_views(body) for name, body in _BODIES.items()}
 
+ORACLE["marker_list_enrichment"] = with_views(
+    _BODIES["genelist_enrichment"],
+    {
+        "list_hits": """
+        select m.louvain as list_id, e.cell_id, e.louvain from expr e join markers m using (gene)
+        where m.rank <= 2 and e.value > 0.0001 group by 1, 2, 3
+        having count(*) = (select count(*) from markers x where x.rank <= 2 and x.louvain = m.louvain)"""
+    },
+)
+
 # The sparse matrix is the dense one with its small entries set to zero, and its questions are the dense ones.
 _WITH_ZEROS = {
     "expr": VIEWS["expr"].replace("v[i] as value", "case when v[i] > 0.05 then v[i] else 0 end as value"),

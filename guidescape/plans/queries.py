@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import partial
@@ -18,6 +19,7 @@ from guidescape.operators import (
     density,
     enrichment,
     expression,
+    gene_index,
     graph,
     neighbours,
     nested,
@@ -28,8 +30,14 @@ from guidescape.operators import (
     trajectory,
 )
 from guidescape.plans.views import CLUSTERS, CONTROL, Views
-from guidescape.runtime import checkpointed
-from guidescape.sources import marker_subset, sample_cells, sample_fraction
+from guidescape.runtime import checkpointed, ensure_checkpoint_dir
+from guidescape.sources import (
+    marker_subset,
+    read_cells_with_expression,
+    sample_cells,
+    sample_fraction,
+    write_cell_table,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -729,6 +737,48 @@ def de_nested_absorbed(v: Views) -> DataFrame:
     return _rounded(out, 6, "pval", "qval")
 
 
+# Clusters say little about genes in the fixture: at the usual 0.05 no gene is a marker.
+MARKER_ALPHA = 0.99
+
+
+@query
+def cluster_markers(v: Views) -> DataFrame:
+    return _rounded(nested.cluster_markers(v.expr, alpha=MARKER_ALPHA), 6, "pval", "qval")
+
+
+# --- reading and searching what was laid out for it ---------------------------------------------------------------
+
+
+def _written(v: Views, name: str) -> str:
+    return f"{ensure_checkpoint_dir(v.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def genelist_cells_indexed(v: Views) -> DataFrame:
+    index = gene_index.write_index(v.expr, v.matrix, _written(v, "gene-index"))
+    return gene_index.cells_of_lists(index, v.gene_lists)
+
+
+@query
+def marker_list_enrichment(v: Views) -> DataFrame:
+    """In which clusters do the cells lie that express all of a cluster's first two markers?"""
+    markers = nested.cluster_markers(v.expr, 2, MARKER_ALPHA).select(F.col("louvain").alias("list_id"), "gene")
+    index = gene_index.write_index(v.expr, v.matrix, _written(v, "gene-index"))
+    return _rounded(gene_index.enriched_clusters(index, checkpointed(markers)), 6, "p_value")
+
+
+@query
+def expression_of_cells(v: Views) -> DataFrame:
+    """The matrix joined with the cell sheet, both laid out on disk, for the cells of some guides in two clusters."""
+    names = {}
+    for name, table in (("matrix", v.expr.select("cell_id", "louvain", "gene", "value")), ("sheet", v.matrix.drop("values"))):
+        names[name] = f"{name}_{uuid.uuid4().hex}"
+        write_cell_table(table, names[name], _written(v, name), 8)
+    wanted = F.col("guide").isin("G1.1", "G2.1") & (F.col("label") % 5 < 2)
+    found = read_cells_with_expression(v.spark, names["matrix"], names["sheet"], wanted)
+    return _rounded(found.select("cell_id", "louvain", "guide", "gene", "value"), 6, "value")
+
+
 # --- from the matrix to genes along the tree and at its branches --------------------------------------------------
 
 

@@ -2,11 +2,13 @@ from guidescape.sources.sampling import marker_subset, sample_cells, sample_frac
 from guidescape.sources.tables import (
     export_obs,
     read_cells,
+    read_cells_with_expression,
     read_cluster_genes,
     read_expression,
     read_feature_lists,
     read_guide_genes,
     snapshot,
+    write_cell_table,
     write_expression,
     write_result,
 )
@@ -15,6 +17,7 @@ __all__ = [
     "export_obs",
     "marker_subset",
     "read_cells",
+    "read_cells_with_expression",
     "read_cluster_genes",
     "read_expression",
     "read_feature_lists",
@@ -22,6 +25,7 @@ __all__ = [
     "sample_cells",
     "sample_fraction",
     "snapshot",
+    "write_cell_table",
     "write_expression",
     "write_result",
 ]

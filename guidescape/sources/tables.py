@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # The columns of the cell sheet, in file order.
 CELL_COLUMNS = {
@@ -58,6 +58,28 @@ def read_expression(spark: SparkSession, path: str, clusters: Sequence[int] | No
     return df if clusters is None else df.where(F.col("louvain").isin(list(clusters)))
 
 
+def write_cell_table(df: DataFrame, name: str, path: str, buckets: int) -> None:
+    """Rows of cells (the sheet, or the matrix) as a table of the session: cluster folders, buckets of cells inside them.
+
+    The sheet and the matrix, written with the same number of buckets, join on the cell without moving either.
+    """
+    writer = df.write.mode("overwrite").partitionBy("louvain").bucketBy(buckets, "cell_id").sortBy("cell_id")
+    writer.option("path", path).saveAsTable(name)
+
+
+def read_cells_with_expression(spark: SparkSession, matrix: str, sheet: str, wanted: Column) -> DataFrame:
+    """Matrix rows of the cells for which ``wanted``, a condition on the sheet's columns, holds, with those columns.
+
+    Only folders of clusters that hold such cells are read: the sheet's filter prunes them while the query runs. Rows of one
+    bucket meet in place.
+    """
+    cells = spark.table(sheet).where(wanted)
+    clusters = cells.select("louvain").distinct()  # a handful of numbers
+    values = spark.table(matrix).join(F.broadcast(clusters), "louvain", "left_semi")
+    own = [c for c in values.columns if c == "cell_id" or c not in cells.columns]
+    return values.select(*own).join(cells, "cell_id")
+
+
 def export_obs(df: DataFrame, path: str) -> None:
     """Cell sheet back to CSV, under its file column names."""
     named = df.withColumnRenamed("cell_id", "index")
