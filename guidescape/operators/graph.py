@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from guidescape.runtime import checkpointed, hot_keys, hot_keys_of, hot_lookup, total
+from guidescape.runtime import checkpointed, hot_keys, hot_keys_within, hot_lookup, release, total
 
-# Rounds of local moves without a better score before a level ends: two, so that both halves of the vertices had theirs.
-PATIENCE = 2
+# Rounds of local moves without a better score before a level ends although some vertices still want to move.
+PATIENCE = 4
+
+
+def _at(name: str, hubs: DataFrame | None) -> DataFrame | None:
+    """Hot vertices under another column name."""
+    return None if hubs is None else hubs.withColumnRenamed("dst", name)
 
 
 def jaccard_graph(knn: DataFrame) -> DataFrame:
@@ -19,7 +24,7 @@ def jaccard_graph(knn: DataFrame) -> DataFrame:
     lists = knn.groupBy("src").agg(F.collect_set("dst").alias("_list"))
     own = lists.withColumnRenamed("_list", "_own")
     theirs = lists.select(F.col("src").alias("dst"), F.col("_list").alias("_theirs"))
-    hubs = hot_keys_of(knn, ["dst"])
+    hubs = hot_keys_within(knn, ["dst"])
     both = hot_lookup(knn.select("src", "dst").join(own, "src"), theirs, ["dst"], hubs)
     shared = F.size(F.array_intersect("_own", "_theirs"))
     union = F.size("_own") + F.size("_theirs") - shared
@@ -37,8 +42,9 @@ def communities(edges: DataFrame, vertices: DataFrame | None = None) -> DataFram
     """Modularity clustering: cell_id, community (the smallest cell of it), one row per vertex.
 
     Cells move between communities until modularity stops growing; then every community becomes one vertex, its inner
-    weight a loop, and the same is done on the smaller graph, until a level gains nothing. Vertices without an edge
-    (``vertices``: cell_id) are communities of their own.
+    weight a loop, and the same is done on the smaller graph, until a level gains nothing. A community that is not connected
+    then falls into its connected parts, which can only raise modularity. Vertices without an edge (``vertices``: cell_id) are
+    communities of their own.
     """
     graph = checkpointed(undirected(edges))
     ends = graph.select(F.col("src").alias("cell_id"))
@@ -51,21 +57,35 @@ def communities(edges: DataFrame, vertices: DataFrame | None = None) -> DataFram
         if moved is None:
             break
         step = moved.select(F.col("cell_id").alias("community"), F.col("community").alias("_next"))
-        named = hot_lookup(labels, step, ["community"], hot_keys_of(labels, ["community"]), "left")
+        named = hot_lookup(labels, step, ["community"], hot_keys_within(labels, ["community"]), "left")
         labels = checkpointed(named.select("cell_id", F.coalesce("_next", "community").alias("community")))
         graph, loops = _contracted(graph, loops, moved)
-    names = labels.groupBy("community").agg(F.min("cell_id").alias("_name"))
-    return hot_lookup(labels, names, ["community"], hot_keys_of(labels, ["community"])).select(
-        "cell_id", F.col("_name").alias("community")
-    )
+    whole = undirected(edges)
+    src = labels.select(F.col("cell_id").alias("src"), F.col("community").alias("_a"))
+    dst = labels.select(F.col("cell_id").alias("dst"), F.col("community").alias("_b"))
+    hubs = hot_keys_within(whole, ["dst"])
+    ends = hot_lookup(whole, src, ["src"], _at("src", hubs))
+    inner = hot_lookup(ends, dst, ["dst"], hubs).where("_a = _b").select("src", "dst")
+    return graph_partitions(labels, checkpointed(inner)).select("cell_id", F.col("partition").alias("community"))
+
+
+def community_quality(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row: communities, those of them that are connected, modularity."""
+    src = labels.select(F.col("cell_id").alias("src"), F.col("community").alias("_a"))
+    dst = labels.select(F.col("cell_id").alias("dst"), F.col("community").alias("_b"))
+    inner = undirected(edges).join(src, "src").join(dst, "dst").where("_a = _b").select("src", "dst")
+    parts = graph_partitions(labels, checkpointed(inner)).join(labels, "cell_id")
+    per = parts.groupBy("community").agg((F.min("partition") == F.max("partition")).alias("_whole"))
+    counts = per.agg(F.count(F.lit(1)).alias("communities"), F.sum(F.col("_whole").cast("long")).alias("connected"))
+    return counts.withColumn("modularity", modularity(edges, labels).scalar())
 
 
 def _contracted(graph: DataFrame, loops: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Communities as vertices: edges between them, and loops that hold both directions of what lies inside."""
     src = labels.select(F.col("cell_id").alias("src"), F.col("community").alias("_a"))
     dst = labels.select(F.col("cell_id").alias("dst"), F.col("community").alias("_b"))
-    hubs = hot_keys_of(graph, ["dst"])
-    ends = hot_lookup(graph, src, ["src"], hubs.withColumnRenamed("dst", "src"))
+    hubs = hot_keys_within(graph, ["dst"])
+    ends = hot_lookup(graph, src, ["src"], _at("src", hubs))
     ends = hot_lookup(ends, dst, ["dst"], hubs)
     between = checkpointed(ends.groupBy(F.col("_a").alias("src"), F.col("_b").alias("dst")).agg(F.sum("weight").alias("weight")))
     inner = between.where("src = dst").select(F.col("src").alias("cell_id"), F.col("weight").alias("loop"))
@@ -77,49 +97,51 @@ def _contracted(graph: DataFrame, loops: DataFrame, labels: DataFrame) -> tuple[
 def _local_moves(graph: DataFrame, loops: DataFrame, mass: float) -> DataFrame | None:
     """Labels (cell_id, community) of the vertices with an edge, or None where no move gains.
 
-    In each round half of the vertices (by hash, alternating) move to the neighbouring community with the largest gain.
-    Two single-vertex communities only merge towards the smaller id, so partners cannot swap places. Moves made at once
-    may undo each other's gain: rounds end after ``PATIENCE`` of them without a better score, and the best labels are
-    returned.
+    In each round half of the vertices, drawn anew by a hash, move to the neighbouring community with the largest gain, if that
+    is larger than staying. Two single-vertex communities only merge towards the smaller id, so partners cannot swap places. A
+    round's table also holds what the modularity before it is made of. Rounds end when nobody wants to move; as moves made at
+    once may undo each other's gain, they also end after ``PATIENCE`` without a better score. The best labels are returned.
     """
-    hubs = checkpointed(hot_keys_of(graph, ["dst"]))
+    hubs = hot_keys_within(graph, ["dst"])
     linked = graph.groupBy(F.col("src").alias("cell_id")).agg(
         F.sum("weight").alias("_out"), F.count(F.lit(1)).alias("_links")
     )
     degree = checkpointed(
         linked.join(loops, "cell_id", "left").select("cell_id", (F.col("_out") + F.coalesce("loop", F.lit(0.0))).alias("_k"), "_links")
     )
+    rounds: list[DataFrame] = []
     labels = degree.select("cell_id", F.col("cell_id").alias("community"))
-    best, score, idle, step = None, _gained(graph, degree, labels, hubs, mass), 0, 0
-    while idle < PATIENCE:
-        labels = _one_round(graph, degree, labels, hubs, mass, step)
-        now = _gained(graph, degree, labels, hubs, mass)
-        idle, step = idle + 1, step + 1
-        if now > score + 1e-9:
-            best, score, idle = labels, now, 0
-    return best
-
-
-def _gained(graph: DataFrame, degree: DataFrame, labels: DataFrame, hubs: DataFrame, mass: float) -> float:
-    """Modularity of the labels without what moves cannot change: loops, and vertices that have no edge."""
-    src = labels.select(F.col("cell_id").alias("src"), F.col("community").alias("_a"))
-    dst = labels.select(F.col("cell_id").alias("dst"), F.col("community").alias("_b"))
-    ends = hot_lookup(graph, src, ["src"], hubs.withColumnRenamed("dst", "src"))
-    inside = hot_lookup(ends, dst, ["dst"], hubs).agg(F.sum(F.when(F.col("_a") == F.col("_b"), F.col("weight")))).first()[0]
-    sizes = degree.join(labels, "cell_id").groupBy("community").agg((F.sum("_k") / mass).alias("_share"))
-    return (inside or 0.0) / mass - (sizes.agg(F.sum(F.col("_share") * F.col("_share"))).first()[0] or 0.0)
+    best, score, idle = None, None, 0
+    while True:
+        made = _one_round(graph, degree, labels, hubs, mass, len(rounds))
+        rounds.append(made)
+        inside, squares, wishes = made.agg(
+            F.sum("_inside"), F.sum(F.col("_k") / mass * (F.col("_held") / mass)), F.sum(F.col("_wants").cast("long"))
+        ).first()
+        now = inside / mass - squares
+        if score is None:
+            score = now
+        elif now > score + 1e-9:
+            best, score, idle = len(rounds) - 2, now, 0
+        else:
+            idle += 1
+        if not wishes or idle > PATIENCE:
+            break
+        labels = made.select("cell_id", "community")
+    release(*(r for i, r in enumerate(rounds) if i != best))
+    return None if best is None else rounds[best].select("cell_id", "community")
 
 
 def _one_round(graph: DataFrame, degree: DataFrame, labels: DataFrame, hubs: DataFrame, mass: float, step: int) -> DataFrame:
+    """New labels; per vertex also its degree _k, its weight to its old community, that one's mass, and whether it wants away."""
     held = degree.join(labels, "cell_id")
-    sizes = checkpointed(
-        held.groupBy("community").agg(
-            F.sum("_k").alias("_mass"),
-            F.count(F.lit(1)).alias("_members"),
-            (F.sum("_links") + F.count(F.lit(1))).alias("_rows"),
-        )
+    sizes = held.groupBy("community").agg(
+        F.sum("_k").alias("_mass"),
+        F.count(F.lit(1)).alias("_members"),
+        (F.sum("_links") + F.count(F.lit(1))).alias("_rows"),
     )
-    large = hot_keys(sizes, ["community"], "_rows")
+    # a community's rows are edges and vertices: where even all of them fit a task, none needs splitting
+    large = None if hubs is None else hot_keys(sizes, ["community"], "_rows")
     sizes = sizes.drop("_rows")
     own_size = sizes.select("community", F.col("_members").alias("_own_members"))
     state = hot_lookup(
@@ -130,7 +152,7 @@ def _one_round(graph: DataFrame, degree: DataFrame, labels: DataFrame, hubs: Dat
     stay = labels.select("cell_id", "community", F.lit(0.0).alias("weight"))
     options = links.unionByName(stay).groupBy("cell_id", "community").agg(F.sum("weight").alias("_in"))
     options = hot_lookup(options, sizes, ["community"], large)
-    options = hot_lookup(options, state, ["cell_id"], hubs.withColumnRenamed("dst", "cell_id"))
+    options = hot_lookup(options, state, ["cell_id"], _at("cell_id", hubs))
     stays = F.col("community") == F.col("_own")
     others = F.col("_mass") - F.when(stays, F.col("_k")).otherwise(0.0)
     gain = F.round(F.col("_in") - F.col("_k") * others / mass, 12)
@@ -140,22 +162,27 @@ def _one_round(graph: DataFrame, degree: DataFrame, labels: DataFrame, hubs: Dat
         .groupBy("cell_id")
         .agg(
             F.min(F.struct((-gain).alias("loss"), F.col("community").alias("community"))).alias("_best"),
+            F.max(F.when(stays, -gain)).alias("_loss"),
+            F.max(F.when(stays, F.col("_in"))).alias("_inside"),
+            F.max(F.when(stays, F.col("_mass"))).alias("_held"),
             F.first("_own").alias("_own"),
+            F.first("_k").alias("_k"),
         )
     )
-    turn = F.pmod(F.xxhash64("cell_id"), F.lit(2)) == step % 2
-    moved = F.when(turn, F.col("_best.community")).otherwise(F.col("_own"))
-    return checkpointed(best.select("cell_id", moved.alias("community")))
+    wants = F.col("_best.loss") < F.col("_loss")
+    turn = F.pmod(F.xxhash64("cell_id", F.lit(step)), F.lit(2)) == 0
+    moved = F.when(turn & wants, F.col("_best.community")).otherwise(F.col("_own"))
+    return checkpointed(best.select("cell_id", moved.alias("community"), "_k", "_inside", "_held", wants.alias("_wants")))
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Share of edge weight inside communities, minus what degrees alone would give."""
     graph = checkpointed(undirected(edges))
     mass = total(graph, F.sum("weight"))
-    hubs = checkpointed(hot_keys_of(graph, ["dst"]))
+    hubs = hot_keys_within(graph, ["dst"])
     src = labels.select(F.col("cell_id").alias("src"), F.col("community").alias("_a"))
     dst = labels.select(F.col("cell_id").alias("dst"), F.col("community").alias("_b"))
-    ends = hot_lookup(graph, src, ["src"], hubs.withColumnRenamed("dst", "src"))
+    ends = hot_lookup(graph, src, ["src"], _at("src", hubs))
     ends = hot_lookup(ends, dst, ["dst"], hubs)
     per = ends.groupBy(F.col("_a").alias("community")).agg(
         F.sum(F.when(F.col("_a") == F.col("_b"), F.col("weight")).otherwise(0.0)).alias("_in"),
@@ -173,7 +200,7 @@ def graph_partitions(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     forth = edges.select("src", "dst")
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     graph = checkpointed(forth.unionByName(back).where("src <> dst").distinct())
-    hubs = checkpointed(hot_keys_of(graph, ["dst"]))
+    hubs = hot_keys_within(graph, ["dst"])
     labels = checkpointed(vertices.select("cell_id", F.col("cell_id").alias("partition")))
     while True:
         seen = labels.select(F.col("cell_id").alias("dst"), F.col("partition").alias("_seen"))
@@ -188,7 +215,7 @@ def graph_partitions(vertices: DataFrame, edges: DataFrame) -> DataFrame:
             )
         )
         ahead = hooked.select(F.col("cell_id").alias("_label"), F.col("_label").alias("partition"))
-        jumped = checkpointed(hot_lookup(hooked, ahead, ["_label"], hot_keys_of(hooked, ["_label"])))
+        jumped = checkpointed(hot_lookup(hooked, ahead, ["_label"], hot_keys_within(hooked, ["_label"])))
         labels = jumped.select("cell_id", "partition")
         if jumped.where(F.col("partition") != F.col("_before")).isEmpty():
             return labels
@@ -199,7 +226,7 @@ def follow_parents(pointers: DataFrame) -> DataFrame:
     pointers = checkpointed(pointers.select("cell_id", "parent"))
     while True:
         ahead = pointers.select(F.col("cell_id").alias("parent"), F.col("parent").alias("_next"))
-        jumped = checkpointed(hot_lookup(pointers, ahead, ["parent"], hot_keys_of(pointers, ["parent"])))
+        jumped = checkpointed(hot_lookup(pointers, ahead, ["parent"], hot_keys_within(pointers, ["parent"])))
         pointers = jumped.select("cell_id", F.col("_next").alias("parent"))
         if jumped.where(F.col("_next") != F.col("parent")).isEmpty():
             return pointers

@@ -592,6 +592,13 @@ def communities(v: Views) -> DataFrame:
     return graph.communities(graph.jaccard_graph(_knn(v)), v.matrix)
 
 
+@query
+def community_quality(v: Views) -> DataFrame:
+    edges = checkpointed(graph.jaccard_graph(_knn(v)))
+    labels = checkpointed(graph.communities(edges, v.matrix))
+    return _rounded(graph.community_quality(edges, labels), 8, "modularity")
+
+
 @query
 def modularity(v: Views) -> DataFrame:
     edges = _knn(v).select("src", "dst", F.lit(1.0).alias("weight"))

@@ -84,8 +84,17 @@ def hot_keys_of(facts: DataFrame, on: list[str]) -> DataFrame:
     return hot_keys(facts.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")), on, "_rows")
 
 
-def hot_lookup(facts: DataFrame, lookup: DataFrame, on: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
+def hot_keys_within(facts: DataFrame, on: list[str]) -> DataFrame | None:
+    """As ``hot_keys_of``, written; None for a table so short that no key of it can own too many rows for one task."""
+    if facts.count() <= ROWS_PER_TASK:
+        return None
+    return checkpointed(hot_keys_of(facts, on))
+
+
+def hot_lookup(facts: DataFrame, lookup: DataFrame, on: list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
     """Join facts to a large table, splitting only the keys listed in ``hot`` and repeating only their lookup rows."""
+    if hot is None:
+        return facts.join(lookup, on, how)
     hot = F.broadcast(hot)
     salts = F.coalesce("_salts", F.lit(1))
     spread = facts.join(hot, on, "left").withColumn(

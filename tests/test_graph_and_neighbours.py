@@ -149,6 +149,29 @@ def test_communities_label_every_cell(spark):
     assert all({found[6 * c + a] for a in range(6)} == {6 * c} for c in range(5))
 
 
+def test_communities_are_connected_and_as_good_as_a_greedy_run(spark):
+    rng = np.random.default_rng(15)
+    group = np.arange(60) % 4
+    pairs = [(a, b) for a in range(60) for b in range(a) if rng.random() < (0.5 if group[a] == group[b] else 0.04)]
+    edges = spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "src long, dst long, weight double")
+    labels = runtime.checkpointed(graph.communities(edges))
+    row = graph.community_quality(edges, labels).first()
+    assert row["connected"] == row["communities"]
+
+    def score(names):
+        degree = np.bincount(np.array(pairs).ravel(), minlength=60)
+        inside = sum(names[a] == names[b] for a, b in pairs) / len(pairs)
+        return inside - sum((degree[np.array(names) == c].sum() / (2 * len(pairs))) ** 2 for c in set(names))
+
+    found = labels.toPandas().set_index("cell_id")["community"]
+    assert row["modularity"] == pytest.approx(score([found[i] for i in range(60)]))
+    assert row["modularity"] >= score(list(group)) - 0.02
+    split = labels.withColumn("community", F.lit(0).cast("long"))
+    parts = [(0, 1, 1.0), (2, 3, 1.0)]
+    lone = graph.community_quality(spark.createDataFrame(parts, "src long, dst long, weight double"), split.where("cell_id < 4"))
+    assert (lone.first()["communities"], lone.first()["connected"]) == (1, 0)
+
+
 def test_connected_groups_and_isolated_cells(spark, task_size):
     chain = [(i, i + 1) for i in range(0, 40)] + [(50, 51), (52, 51)]
     vertices = spark.createDataFrame([(i,) for i in [*range(41), 50, 51, 52, 99]], "cell_id long")
