@@ -11,10 +11,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from guidescape.llm import line_dedup, ngram_join, packing, quality, toxicity
+from guidescape.llm.text import A_WORD
 from guidescape.runtime import ensure_checkpoint_dir
 
 ORACLE_SQL = None
 
+WORDS, PERCENT = 5, 80  # shingles and similarity of near duplicates
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the current policy."""
@@ -31,15 +34,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, cut down to the lines that no other line stands for; n_chars follows the text."""
-    shorter = line_dedup.line_dedup(docs)
+    """Documents cut down to the lines that no other line stands for; n_chars follows the text.
+
+    A document of which no word is left is a copy of others, line by line, and goes.
+    """
+    shorter = line_dedup.line_dedup(docs).where((F.col("n_dropped") == 0) | F.col("text").rlike(A_WORD))
     n_chars = F.char_length("text").cast(docs.schema["n_chars"].dataType)
     return shorter.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near duplicates, the one that names the group."""
-    groups = ngram_join.ngram_components(docs)
+    """One document of every group of near duplicates (five words, a similarity of 0.8), the one that names the group."""
+    groups = ngram_join.ngram_components(docs, WORDS, PERCENT)
     others = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone"))
     return docs.join(others, docs["doc_id"] == others["_gone"], "left_anti")
 
