@@ -15,8 +15,10 @@ Equal sets are collapsed first. A column with few documents multiplies in full.
 documents with a few pivots, those with the fewest rare n-grams, and merges what links; only columns that still hold different
 components go on, with new pivots. After ``ROUNDS`` rounds the remaining columns multiply in full between different components, so no link is lost.
 
-Null, blank and empty texts have empty sets and link with nothing. Repeated rows share one answer. Rows with a null id are
-grouped like others but never name a component. Columns other than doc_id and text are not read. Sets hold 64-bit hashes.
+Null, blank and empty texts have empty sets and link with nothing. What is linked are sets, under numbers of their own, so rows
+without an id and texts that share one link like all others; ids only name components. Repeated rows share one answer; a row
+without id never names a component, and one linked to none but such rows has a null component. Columns other than doc_id and
+text are not read. Sets hold 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from guidescape.llm.components import connected
 from guidescape.llm.membership import bitmap, passing
 from guidescape.llm.text import as_long, shingle_set, word_hashes
-from guidescape.runtime import checkpointed, importable
+from guidescape.runtime import checkpointed, importable, release
 
 N = 4
 PERCENT = 85
@@ -75,8 +77,12 @@ def prefix_length(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1
 
 
+def _text_key() -> Column:
+    return F.unhex(F.md5(F.col("text").cast("binary"))).alias("text_key")
+
+
 def describe(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """doc_id, size (of its set), set_a and set_b (a 128-bit hash of the set), p0 to p3 (parities of its 256
+    """doc_id, text_key, size (of its set), set_a and set_b (a 128-bit hash of the set), p0 to p3 (parities of its 256
     blocks), prefix (n-grams of the columns it enters)."""
     sketch = importable(docs.sparkSession).sparkContext.broadcast(_sketch(docs, n))
 
@@ -91,15 +97,15 @@ def describe(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
                 take = prefix_length(len(found), percent) if len(found) else 0
                 seen = sketch.value[found & np.uint64(SKETCH - 1)]
                 firsts.append(as_long(found[np.lexsort((found, seen))[:take]]))
-            out = pd.DataFrame({"doc_id": pdf["doc_id"], "size": np.array(sizes, np.int64)})
+            out = pdf[["doc_id", "text_key"]].assign(size=np.array(sizes, np.int64))
             out[["set_a", "set_b"]] = np.array(prints, np.int64).reshape(-1, 2)
             out[PARITIES] = np.array(parities, np.int64).reshape(-1, len(PARITIES))
             yield out.assign(prefix=pd.Series(firsts, dtype=object))
 
     # The id travels as text: pandas has no 64-bit integers beside nulls.
-    rows = docs.select(F.col("doc_id").cast("string"), "text")
+    rows = docs.select(F.col("doc_id").cast("string"), _text_key(), "text")
     longs = ", ".join(f"{name} long" for name in ["size", "set_a", "set_b", *PARITIES])
-    found = rows.mapInPandas(prefixes, f"doc_id string, {longs}, prefix array<long>")
+    found = rows.mapInPandas(prefixes, f"doc_id string, text_key binary, {longs}, prefix array<long>")
     return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -160,21 +166,23 @@ def ngram_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Dat
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included), set_copies."""
     rows = checkpointed(describe(docs, n, percent))
     key = ["set_a", "set_b"]
-    classes = checkpointed(
-        rows.groupBy(*key, "size").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    )
-    several = classes.where("size > 0 and id is not null")
-    incidence = rows.where("size > 0").join(several.select("id"), rows["doc_id"] == F.col("id"), "left_semi")
-    entries = incidence.dropDuplicates(["doc_id"]).select(
-        F.col("doc_id").alias("id"), "size", F.posexplode("prefix").alias("at", "gram")
+    classes = rows.groupBy(*key, "size").agg(
+        F.min("doc_id").alias("first"),
+        F.count(F.lit(1)).alias("copies"),
+        F.min("text_key").alias("text_key"),
+        *(F.min(p).alias(p) for p in PARITIES),
     )
+    classes = checkpointed(classes.withColumn("id", F.monotonically_increasing_id()))
+    entries = rows.where("size > 0").select(*key, "prefix").dropDuplicates(key).join(classes.select(*key, "id", "size"), key)
+    entries = entries.select("id", "size", F.posexplode("prefix").alias("at", "gram"))
     widths = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("width")).where("width > 1")
-    blocks = rows.select(F.col("doc_id").alias("id"), *PARITIES).dropDuplicates(["id"])
+    blocks = classes.select("id", *PARITIES)
     columns = checkpointed(entries.join(widths, "gram").join(blocks, "id"))
     members = checkpointed(columns.groupBy("id").agg(F.count(F.lit(1)).alias("entries")))
-    named_texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    marked = passing(named_texts, bitmap(members, ["id"]), ["id"], "_member").where("_member").drop("_member")
-    texts = checkpointed(marked.join(members, "id", "left_semi").dropDuplicates(["id"]))
+    wanted = checkpointed(classes.join(members, "id").select("id", "text_key"))
+    keyed = docs.select(_text_key(), "text")
+    marked = passing(keyed, bitmap(wanted, ["text_key"]), ["text_key"], "_member").where("_member").drop("_member")
+    texts = checkpointed(marked.join(wanted, "text_key").select("id", "text").dropDuplicates(["id"]))
 
     def side(df: DataFrame, end: str, names: str) -> DataFrame:
         """Columns of a meeting that belong to one end: its id, size, place, component and parities."""
@@ -193,7 +201,9 @@ def ngram_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Dat
         named = open_.select("gram", "id", "size", "at", *PARITIES).join(groups, "id", "left")
         named = named.withColumn("root", F.coalesce("root", "id"))
         mixed = named.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-        open_ = checkpointed(named.join(mixed.select("gram"), "gram", "left_semi"))
+        before, open_ = open_, checkpointed(named.join(mixed.select("gram"), "gram", "left_semi"))
+        if step:
+            release(before)
         if open_.isEmpty():
             break
         pivots = open_
@@ -214,12 +224,15 @@ def ngram_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Dat
         links = links.unionByName(checkpointed(_verified(found, texts, n, percent)))
         groups = checkpointed(connected(links))
 
-    named = classes.join(groups, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    named = named.select(*key, "root", "copies")
+    named = checkpointed(
+        classes.join(groups, "id", "left").select(*key, "first", "copies", F.coalesce("root", "id").alias("root"))
+    )
+    names = named.groupBy("root").agg(F.min("first").alias("name"))
+    named = named.join(names, "root").select(*key, "name", "copies")
     empty = F.col("size") == 0
     return rows.join(named, key, "left").select(
         "doc_id",
         F.col("size").alias("n_shingles"),
-        F.when(empty, F.col("doc_id")).otherwise(F.col("root")).alias("component_id"),
+        F.when(empty, F.col("doc_id")).otherwise(F.col("name")).alias("component_id"),
         F.when(empty, F.lit(1)).otherwise(F.col("copies")).cast("long").alias("set_copies"),
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from guidescape.llm import chat, exact_dedup, hard_negatives, language, line_dedup, lm, ngram_join, packing, pieces, quality
 from guidescape.llm import repair, token_files, toxicity
-from guidescape.runtime import ensure_checkpoint_dir
+from guidescape.runtime import checkpointed, ensure_checkpoint_dir
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,6 +32,13 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def quality_ablations(spark: SparkSession, folder: str) -> DataFrame:
+    """What every rule of every policy version does to all documents, from one ledger."""
+    rows = checkpointed(quality.ledger(_table(spark, folder, "documents")).select("failed"))
+    found = [quality.ablations(rows, name).withColumn("policy", F.lit(name)) for name in quality.POLICIES]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 def op3_chat_collapse(spark: SparkSession, folder: str) -> DataFrame:
     return chat.collapse_and_render(_table(spark, folder, "conversations"))
 
@@ -88,7 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         *(op1_exact_dedup, op2_quality_rules, op3_chat_collapse, op4_line_dedup, op5_ngram_join),
         *(op6_pieces, op7_toxicity, op8_packing, op9_lm_scores, op10_token_files),
-        *(op11_conversation_repair, op12_language_id, op13_hard_negatives),
+        *(op11_conversation_repair, op12_language_id, op13_hard_negatives, quality_ablations),
     )
 }
 
@@ -181,3 +189,100 @@ ORACLE = {
           ON n.anchor = p.anchor AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
         QUALIFY rank <= 3""",
 }
+
+_POLICIES = ", ".join(f"('{name}', {mask})" for name, mask in quality.POLICIES.items())
+_RULES = ", ".join(f"('{name}', {bit})" for name, bit in quality.BIT.items())
+ORACLE["quality_ablations"] = f"""
+    WITH ledger AS ({ORACLE['op2_quality_rules']})
+    SELECT policy, rule, count(*) FILTER (failed & bit <> 0) AS failing,
+           count(*) FILTER (failed & mask = bit) AS only_rule, count(*) FILTER (failed & mask <> 0) AS rejected,
+           count(*) FILTER (failed & mask <> 0 AND failed & mask <> bit) AS rejected_without
+    FROM ledger, (VALUES {_POLICIES}) p(policy, mask), (VALUES {_RULES}) r(rule, bit)
+    WHERE bit & mask <> 0 GROUP BY policy, rule"""
+
+
+def _cost_and_audit() -> tuple[str, str]:
+    """First and next row of the least-cost programme in SQL: a column per state, holding its cost in nine digits, then its audit."""
+
+    def after(value: str, cost: str | int, letter: str) -> str:
+        return f"lpad(CAST(CAST(substr({value}, 1, 9) AS INT) + {cost} AS VARCHAR), 9, '0') || substr({value}, 10) || '{letter}'"
+
+    def inserted(w: list[str], source: str) -> str:
+        x2 = f"least({w[2]}, {after(w[0], 3, 'I')}, {after(w[1], 3, 'I')}, {after(w[3], 3, 'I')})"
+        return f"SELECT conv_id, i, w0 AS v0, w1 AS v1, x2 AS v2, least(w3, {after('x2', 3, 'I')}) AS v3 FROM (SELECT *, {x2} AS x2 FROM ({source}))"
+
+    def kept(value: str, role: str) -> str:
+        return f"CASE WHEN first = '{role}' AND fault < 2 THEN {after(value, '3 * fault', 'K')} END"
+
+    def given(value: str) -> str:
+        return f"CASE WHEN fault < 2 THEN {after(value, '3 + 3 * fault', 'R')} END"
+
+    names = ["w0", "w1", "w2", "w3"]
+    start = "SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, '000000000' AS w0, CAST(NULL AS VARCHAR) AS w1, CAST(NULL AS VARCHAR) AS w2, CAST(NULL AS VARCHAR) AS w3 FROM faulty"
+    users = ", ".join(f(v) for v in ("v0", "v1", "v3") for f in (lambda v: kept(v, "u"), given))
+    step = f"""
+        SELECT f.conv_id, f.i, {after('v0', 4, 'D')} AS w0, least({after('v1', 4, 'D')}, {kept('v0', 's')}) AS w1,
+               least({after('v2', 4, 'D')}, {users}) AS w2,
+               least({after('v3', 4, 'D')}, {kept('v2', 'a')}, {given('v2')}) AS w3
+        FROM programme p JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i + 1"""
+    return inserted(names, start), inserted(names, step)
+
+
+_START, _STEP = _cost_and_audit()
+
+ORACLE["op11_conversation_repair"] = rf"""
+    WITH RECURSIVE crc_table AS (
+        SELECT [list_reduce([CAST(i AS BIGINT)] || [CAST(0 AS BIGINT) FOR k IN range(8)],
+                            lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+                FOR i IN range(256)] AS entries),
+    coded AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               xor(list_reduce([CAST(4294967295 AS BIGINT)] || [CAST(ord(c) AS BIGINT) FOR c IN string_split(
+                       coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '')],
+                   lambda c, b: xor(c >> 8, entries[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind
+        FROM conversations, crc_table),
+    damaged AS (
+        SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+               CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+               unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy
+        FROM coded WHERE kind <> 0),
+    placed AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role,
+                                     sha256(length(role) || ':' || role || text)) AS i,
+               right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last, role[1] AS first
+        FROM damaged),
+    faulty AS (
+        SELECT *, CASE WHEN last = '' OR again THEN 2 WHEN last NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS fault,
+               coalesce(lag(first) OVER (PARTITION BY conv_id ORDER BY i) || first NOT IN ('su', 'ua', 'au'), false) AS jump
+        FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again FROM placed)),
+    programme AS ({_START} UNION ALL {_STEP}),
+    solved AS (
+        SELECT conv_id, CAST(substr(least(v0, v3), 1, 9) AS BIGINT) AS cost, substr(least(v0, v3), 10) AS audit
+        FROM programme QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+    letters AS (
+        SELECT conv_id, k, audit[k] AS letter, length(replace(audit[1:k], 'I', '')) AS i,
+               length(replace(audit[1:k], 'D', '')) AS made
+        FROM (SELECT *, unnest(range(1, length(audit) + 1)) AS k FROM solved)),
+    turns AS (
+        SELECT l.conv_id, l.k, l.made, l.letter, f.role AS own, f.text,
+               max(l.made = 1 AND l.letter = 'K' AND f.first = 's') OVER (PARTITION BY l.conv_id) AS led
+        FROM letters l LEFT JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM l.conv_id AND f.i = l.i AND l.letter <> 'I'
+        WHERE l.letter <> 'D'),
+    repaired AS (
+        SELECT conv_id, sha256(string_agg(
+                   CASE WHEN letter = 'K' THEN own WHEN (made - CASE WHEN led THEN 1 ELSE 0 END) % 2 = 1 THEN 'user'
+                        ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY k)) AS digest
+        FROM turns GROUP BY conv_id),
+    counted AS (
+        SELECT conv_id, CASE WHEN count(turn) = 0 THEN 0 ELSE max(turn) - min(turn) + 1 - count(DISTINCT turn) END AS gaps,
+               count(*) FILTER (last = '') AS blank, count(*) FILTER (last <> '' AND again) AS duplicate,
+               count(*) FILTER (fault = 1) AS truncated, count(*) FILTER (jump) AS illegal
+        FROM faulty GROUP BY conv_id)
+    SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+           CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+           CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit,
+           coalesce(digest, sha256('')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) o
+    LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+    LEFT JOIN solved s ON s.conv_id IS NOT DISTINCT FROM o.conv_id
+    LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM o.conv_id"""

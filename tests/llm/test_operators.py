@@ -244,6 +244,26 @@ def test_ngram_join(docs, empty):
     assert ngram_join.ngram_components(empty).count() == 0
 
 
+def test_ngram_join_links_through_rows_without_or_with_shared_ids(spark):
+    base = [f"w{i}" for i in range(100)]
+    a, b, c = " ".join(base), " ".join(["x"] + base[1:]), " ".join(["x"] + base[1:-7] + [f"y{i}" for i in range(7)])
+    sets, _ = brute_ngrams([a, b, c])
+    assert 100 * len(sets[0] & sets[2]) < 85 * len(sets[0] | sets[2])  # linked through b only
+    other = " ".join(f"z{i}" for i in range(50))
+
+    def components(rows):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        found = ngram_join.ngram_components(df).collect()
+        assert len(found) == len(rows)
+        return sorted((r["doc_id"], r["component_id"]) for r in found if r["doc_id"] is not None)
+
+    assert components([(1, a), (None, b), (2, c)]) == [(1, 1), (2, 1)]
+    assert components([(5, a), (5, other), (2, b)]) == [(2, 2), (5, 2), (5, 5)]
+    assert components([(5, a), (5, a), (None, a), (9, other)]) == [(5, 5), (5, 5), (9, 9)]
+    alone = spark.createDataFrame([(None, a), (None, b)], "doc_id long, text string")
+    assert [r["component_id"] for r in ngram_join.ngram_components(alone).collect()] == [None, None]
+
+
 def test_ngram_join_of_large_groups(spark):
     rng = np.random.default_rng(3)
     texts = []
