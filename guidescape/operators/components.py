@@ -122,6 +122,22 @@ def leading_eigenvectors(multiply: Callable[[np.ndarray], np.ndarray], d: int, k
     return values[:k], vectors
 
 
+def leading_singular_values(rows: DataFrame, k: int, width: int) -> np.ndarray:
+    """The ``k`` largest singular values of the matrix as it stands, not centred."""
+
+    def multiply(block: np.ndarray) -> np.ndarray:
+        sent = rows.sparkSession.sparkContext.broadcast(block)
+
+        def add(out: np.ndarray, x: np.ndarray) -> None:
+            out += x.T @ (x @ sent.value)
+
+        product = summed(rows, width, width, block.shape[1], add)
+        sent.unpersist()
+        return product
+
+    return np.sqrt(np.maximum(leading_eigenvectors(multiply, width, k)[0], 0.0))
+
+
 def principal_components(rows: DataFrame, k: int, width: int | None = None) -> Components:
     """The first ``k`` components. ``width``: number of genes, needed for rows with ``indices``, else read from the rows.
 

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.mllib.linalg import Vectors
-from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame, functions as F
 
 from guidescape.functions.tails import student_two_sided
-from guidescape.runtime import checkpointed
+from guidescape.operators.components import leading_singular_values
+from guidescape.runtime import checkpointed, total
 
 ROW_CHUNK = 2048
 COLUMN_BLOCK = 256
@@ -125,14 +125,19 @@ def corr_pvalues(corr: DataFrame, n_rows: int) -> DataFrame:
 
 
 def singular_values(corr: DataFrame, k: int) -> DataFrame:
-    """Largest ``k`` singular values of a correlation matrix given as (col_a, col_b, r) rows."""
-    rows = corr.groupBy("col_a").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("col_b", "r"))), lambda e: e["r"]).alias("r")
+    """Largest ``k`` singular values of a correlation matrix given as (col_a, col_b, r) rows; an absent entry is 0.
+
+    The matrix is only multiplied with thin blocks, a pass over its rows each; neither its square nor the matrix is gathered.
+    """
+    names = corr.select("col_b").distinct().orderBy("col_b")
+    # as many names as the matrix has columns
+    place = total(names, F.sort_array(F.collect_list("col_b")))
+    rows = corr.withColumn("_at", (F.array_position(place, F.col("col_b")) - 1).cast("int")).groupBy("col_a").agg(
+        F.sort_array(F.collect_list(F.struct(F.col("_at").alias("i"), F.col("r").alias("v")))).alias("_e")
     )
-    matrix = RowMatrix(rows.select("r").rdd.map(lambda row: Vectors.dense(row["r"])))
-    values = matrix.computeSVD(k, computeU=False, rCond=1e-15).s.toArray()
-    spark = corr.sparkSession
-    return spark.createDataFrame(
+    rows = checkpointed(rows.select(F.col("_e.i").alias("indices"), F.col("_e.v").alias("values")))
+    values = leading_singular_values(rows, k, names.count())
+    return corr.sparkSession.createDataFrame(
         [(i + 1, float(v)) for i, v in enumerate(values)], "component int, singular_value double"
     )
 
@@ -151,10 +156,21 @@ def _inverse_root(gram: np.ndarray) -> np.ndarray:
     return vectors[:, keep] / np.sqrt(values[keep])
 
 
-def canonical_correlation(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Canonical correlations of two long matrices on the same rows, without centring.
+@dataclass
+class Canonical:
+    """``correlations``, falling, and for each side the columns' names and coefficients (columns × pairs)."""
+
+    correlations: np.ndarray
+    columns: tuple[list[str], list[str]]
+    coefficients: tuple[np.ndarray, np.ndarray]
+
+
+def canonical_pairs(a: DataFrame, b: DataFrame) -> Canonical:
+    """Canonical correlations and coefficients of two long matrices on the same rows, without centring.
 
-    The three cross-products are distributed; the final solve is columns × columns, so the number of columns is checked.
+    The sides times their coefficients have columns of length 1 that are orthogonal to each other, and to all but the matching
+    one of the other side. The first side's largest coefficient of a pair is positive. The three cross-products are distributed;
+    the final solve is columns × columns, so the number of columns is checked.
     """
     names = []
     for side in (a, b):
@@ -165,13 +181,34 @@ def canonical_correlation(a: DataFrame, b: DataFrame) -> DataFrame:
     saa = _dense(cross_product(a, a), names[0], names[0])
     sbb = _dense(cross_product(b, b), names[1], names[1])
     sab = _dense(cross_product(a, b), names[0], names[1])
-    core = _inverse_root(saa).T @ sab @ _inverse_root(sbb)
-    values = np.clip(np.linalg.svd(core, compute_uv=False), 0.0, 1.0)
+    root_a, root_b = _inverse_root(saa), _inverse_root(sbb)
+    u, values, vt = np.linalg.svd(root_a.T @ sab @ root_b, full_matrices=False)
+    x, y = root_a @ u, root_b @ vt.T
+    largest = np.abs(x).argmax(axis=0)
+    sign = np.where(x[largest, np.arange(x.shape[1])] < 0, -1.0, 1.0)
+    return Canonical(np.clip(values, 0.0, 1.0), (names[0], names[1]), (x * sign, y * sign))
+
+
+def canonical_correlation(a: DataFrame, b: DataFrame) -> DataFrame:
+    """component, correlation: the canonical correlations of ``canonical_pairs``."""
+    values = canonical_pairs(a, b).correlations
     return a.sparkSession.createDataFrame(
         [(i + 1, float(v)) for i, v in enumerate(values)], "component int, correlation double"
     )
 
 
+def canonical_coefficients(a: DataFrame, b: DataFrame) -> DataFrame:
+    """side (a, b), col, component, coefficient of ``canonical_pairs``."""
+    found = canonical_pairs(a, b)
+    rows = [
+        (side, name, i + 1, float(v))
+        for side, names, table in zip("ab", found.columns, found.coefficients)
+        for name, values in zip(names, table)
+        for i, v in enumerate(values)
+    ]
+    return a.sparkSession.createDataFrame(rows, "side string, col string, component int, coefficient double")
+
+
 def guide_density(
     cells: DataFrame, guide_id: str, bandwidth: float = 0.2, points: int = 512, margin: float = 3.0
 ) -> DataFrame:

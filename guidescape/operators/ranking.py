@@ -11,6 +11,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from guidescape.runtime import checkpointed
+
 PER_DECADE = 256
 
 
@@ -114,7 +116,8 @@ def lowest_by_hash(df: DataFrame, n: int, key: str, seed: int) -> DataFrame:
     prefix are ranked, and the answer itself is a plain filter on the hash.
     """
     value = seeded_hash(key, seed)
-    hashed = df.select(key, value.alias("_hash"), F.substring(value, 1, 4).alias("_prefix"))
+    # keys and hashes are written once: the input itself is only gone through for them and for the answer
+    hashed = checkpointed(df.select(key, value.alias("_hash"), F.substring(value, 1, 4).alias("_prefix")))
     histogram = hashed.groupBy("_prefix").agg(F.count(F.lit(1)).alias("_held"))
     running = histogram.withColumn("_upto", F.sum("_held").over(Window.orderBy("_prefix")))
     cut = running.where(F.col("_upto") >= n).orderBy("_prefix").first()

@@ -425,14 +425,22 @@ def corr_svd(v: Views) -> DataFrame:
     return correlation.singular_values(corr, v.genes.count())
 
 
-@query
-def cancor(v: Views) -> DataFrame:
+def _gene_halves(v: Views) -> tuple[DataFrame, DataFrame]:
     rows = v.expr.select(F.col("cell_id").alias("row"), F.col("gene").alias("col"), "value")
     half = v.genes.select(F.col("gene").alias("col"), F.col("pos") * 2 < v.genes.count())
     half = half.toDF("col", "_first")  # one row per gene
     sided = rows.join(half, "col")
-    first, second = (sided.where(side).drop("_first") for side in ("_first", "not _first"))
-    return _rounded(correlation.canonical_correlation(first, second), 6, "correlation")
+    return sided.where("_first").drop("_first"), sided.where("not _first").drop("_first")
+
+
+@query
+def cancor(v: Views) -> DataFrame:
+    return _rounded(correlation.canonical_correlation(*_gene_halves(v)), 6, "correlation")
+
+
+@query
+def cancor_coefficients(v: Views) -> DataFrame:
+    return correlation.canonical_coefficients(*_gene_halves(v))
 
 
 def _guide_id():

@@ -199,6 +199,13 @@ def test_block_products_match_dense_algebra(spark, monkeypatch):
     canonical = correlation.canonical_correlation(long_a, long_b).toPandas()["correlation"]
     qa, qb = np.linalg.qr(a)[0], np.linalg.qr(b)[0]
     assert np.allclose(canonical, np.linalg.svd(qa.T @ qb, compute_uv=False), atol=1e-8)
+    table = correlation.canonical_coefficients(long_a, long_b).toPandas()
+    x, y = (
+        table[table["side"] == side].pivot(index="col", columns="component", values="coefficient").to_numpy() for side in "ab"
+    )
+    left, right = a @ x, b @ y
+    assert np.allclose(left.T @ left, np.eye(5), atol=1e-8) and np.allclose(right.T @ right, np.eye(5), atol=1e-8)
+    assert np.allclose(left.T @ right, np.diag(canonical), atol=1e-8)
 
 
 def test_correlation_p_values(spark):
