@@ -182,7 +182,10 @@ def ngram_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Dat
     wanted = checkpointed(classes.join(members, "id").select("id", "text_key"))
     keyed = docs.select(_text_key(), "text")
     marked = passing(keyed, bitmap(wanted, ["text_key"]), ["text_key"], "_member").where("_member").drop("_member")
-    texts = checkpointed(marked.join(wanted, "text_key").select("id", "text").dropDuplicates(["id"]))
+    # a set has one text here, so the text's key is as good as the set's number, and texts are moved once
+    texts = checkpointed(marked.dropDuplicates(["text_key"]).join(wanted, "text_key").select("id", "text"))
+    everyone = checkpointed(rows.select("doc_id", *key, "size"))
+    release(rows)
 
     def side(df: DataFrame, end: str, names: str) -> DataFrame:
         """Columns of a meeting that belong to one end: its id, size, place, component and parities."""
@@ -230,7 +233,7 @@ def ngram_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Dat
     names = named.groupBy("root").agg(F.min("first").alias("name"))
     named = named.join(names, "root").select(*key, "name", "copies")
     empty = F.col("size") == 0
-    return rows.join(named, key, "left").select(
+    return everyone.join(named, key, "left").select(
         "doc_id",
         F.col("size").alias("n_shingles"),
         F.when(empty, F.col("doc_id")).otherwise(F.col("name")).alias("component_id"),
