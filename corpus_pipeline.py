@@ -38,9 +38,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document of which no word is left is a copy of others, line by line, and goes.
     """
-    shorter = line_dedup.line_dedup(docs).where((F.col("n_dropped") == 0) | F.col("text").rlike(A_WORD))
-    n_chars = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-    return shorter.withColumn("n_chars", n_chars).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")
+    shorter = line_dedup.line_dedup(rows).where((F.col("n_dropped") == 0) | F.col("text").rlike(A_WORD))
+    new = {"text": F.col("text"), "n_chars": F.char_length("text").cast(docs.schema["n_chars"].dataType)}
+    return shorter.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
