@@ -161,6 +161,8 @@ def test_line_dedup(docs, empty):
     assert found[10]["text"] == LONG and found[3]["text"] == TEXTS[3]
     assert line_dedup.line_dedup(docs).columns == [*docs.columns, "n_lines", "n_dropped"]
     assert line_dedup.line_dedup(empty).count() == 0
+    clashing = line_dedup.line_dedup(empty.withColumn("n_lines", F.lit(1)).withColumn("n_dropped", F.lit("x")))
+    assert clashing.columns == [*empty.columns, "n_lines", "n_dropped"]
 
 
 def test_line_dedup_recall(spark):
