@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 import zlib
 from collections import Counter
 
@@ -26,6 +27,7 @@ from guidescape.llm import (
     toxicity,
 )
 from guidescape.llm.text import shingle_set, word_hashes
+from guidescape.runtime import checkpointed
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, size long, text_sha256 string"
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(40_000))
@@ -419,6 +421,30 @@ def test_lm_scores_do_not_depend_on_what_is_broadcast(spark, monkeypatch):
     assert got == pytest.approx(want)
 
 
+def test_lm_counts_only_grams_of_counted_parts_and_leaves_few_tables(spark, monkeypatch):
+    texts = ["a b c d", "a b c e", *(f"x{i} a y{i} b" for i in range(50))]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    written = []
+
+    def recorded(df):
+        table = checkpointed(df)
+        written.append((table._written_to.removeprefix("file:"), table.columns, table.count()))
+        return table
+
+    monkeypatch.setattr(lm, "checkpointed", recorded)
+    model, _, rest = lm.fit_whole(frame)
+    counted = Counter()
+    for t in texts:
+        tokens = [None, *t.split(), "</s>"]
+        counted.update(zip(tokens, tokens[1:]))
+        counted.update(zip(tokens, tokens[1:], tokens[2:]))
+    grams = [n for _, columns, n in written if columns == ["key", "n", "w0", "w1"]]
+    assert grams == [sum(n > 1 for g, n in counted.items() if len(g) == k) for k in (2, 3)]
+    left = [columns for path, columns, _ in written if os.path.exists(path)]
+    assert not any("w0" in columns for columns in left)
+    assert len(lm.score(frame, model, rest).collect()) == len(texts)
+
+
 def test_coder_round_trip():
     rng = np.random.default_rng(0)
     for top in (1, 2, 300, 49408, 2**32 - 1):
