@@ -4,7 +4,8 @@ A document is the set of its distinct 4-word shingles; two documents link when t
 threshold. The document × n-gram matrix is multiplied with its transpose column by column, but only in the columns where a
 linked pair must meet: with all n-grams in one global order, linked sets of size x share an n-gram among the first
 x - ⌈t·x⌉ + 1 of each. The order puts n-grams by their corpus frequency, estimated in a counting sketch of fixed size over all
-documents, so common passages come last and hardly ever form a column. Any order is exact; the sketch only saves work.
+documents, so common passages come last and hardly ever form a column. Any order is exact; the sketch only saves work. It has
+four million classes: a passage that fewer documents share than a class has n-grams by chance is not told from rare ones.
 
 Two bounds that follow from the sizes discard pairs without losing a link. Inside a column, sets are blocked into 256 classes
 by hash; every class where the parities of two sets differ holds an n-gram of one set only, so too many such classes rule the
@@ -33,11 +34,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from guidescape.llm.components import connected
 from guidescape.llm.membership import bitmap, passing
 from guidescape.llm.text import as_long, shingle_set, word_hashes
-from guidescape.runtime import checkpointed, importable, release
+from guidescape.runtime import checkpointed, discard_shuffles, importable, release
 
 N = 4
 PERCENT = 85
-SKETCH = 1 << 17
+SKETCH = 1 << 22
+BLOCK = 1 << 13  # classes that are summed together
 SMALL = 16
 PIVOTS = 2
 ROUNDS = 2
@@ -45,26 +47,38 @@ PARITIES = ["p0", "p1", "p2", "p3"]
 
 
 def _sketch(docs: DataFrame, n: int) -> np.ndarray:
-    """Counts of all distinct (document, n-gram) pairs in ``SKETCH`` hash classes; one small map per task is shuffled."""
+    """Counts of all distinct (document, n-gram) pairs in ``SKETCH`` hash classes, as steps of an eighth of a power of two.
+
+    Every task counts in an array of its own; its blocks are summed over the tasks where the shuffle brings them together.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, waiting, n_waiting = np.zeros(SKETCH, np.int64), [], 0
+        held, waiting, n_waiting = np.zeros(SKETCH, np.uint32), [], 0
         for pdf in batches:
             for text in pdf["text"]:
-                waiting.append(shingle_set(word_hashes(text), n) & np.uint64(SKETCH - 1))
+                waiting.append((shingle_set(word_hashes(text), n) & np.uint64(SKETCH - 1)).astype(np.int32))
                 n_waiting += len(waiting[-1])
                 if n_waiting > SKETCH:
-                    held += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=SKETCH)
+                    held += np.bincount(np.concatenate(waiting), minlength=SKETCH).astype(np.uint32)
                     waiting, n_waiting = [], 0
         if waiting:
-            held += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=SKETCH)
-        at = np.flatnonzero(held)
-        yield pd.DataFrame({"at": at, "n": held[at]})
+            held += np.bincount(np.concatenate(waiting), minlength=SKETCH).astype(np.uint32)
+        # all low bytes before all high ones: nearly all of the latter are zero
+        planes = held.view(np.uint8).reshape(-1, BLOCK, 4).transpose(0, 2, 1)
+        yield pd.DataFrame({"block": np.arange(len(planes)), "counts": [x.tobytes() for x in planes]})
 
-    rows = docs.select("text").mapInPandas(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(SKETCH, np.int64)
-    out[rows["at"]] = rows["n"]
-    return out
+    def total(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+        counts = np.zeros(BLOCK, np.int64)
+        for raw in parts["counts"]:
+            counts += np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, BLOCK).T).view(np.uint32).ravel()
+        steps = np.where(counts > 0, 1 + 8 * np.log2(np.maximum(counts, 1)), 0).astype(np.uint8)
+        return pd.DataFrame({"block": [key[0]], "steps": [steps.tobytes()]})
+
+    rows = docs.select("text").mapInPandas(count, "block int, counts binary")
+    out = np.zeros((SKETCH // BLOCK, BLOCK), np.uint8)
+    for row in rows.groupBy("block").applyInPandas(total, "block int, steps binary").toLocalIterator():
+        out[row["block"]] = np.frombuffer(row["steps"], np.uint8)
+    return out.ravel()
 
 
 def required(x: Column, y: Column, percent: int) -> Column:
@@ -132,9 +146,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
                 keep.append(100 * both >= percent * (len(held) + len(other) - both))
             yield pdf.loc[np.array(keep, bool), ["a", "b"]]
 
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("s"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("t"))
-    whole = pairs.select("a", "b").join(left, "a").join(right, "b")
+    def side(end: str, name: str) -> DataFrame:
+        met = passing(texts, bitmap(pairs.select(F.col(end).alias("id")), ["id"]), ["id"], "_met").where("_met")
+        return met.select(F.col("id").alias(end), F.col("text").alias(name))
+
+    whole = pairs.select("a", "b").join(side("a", "s"), "a").join(side("b", "t"), "b")
     return whole.select("a", "s", "b", "t").mapInPandas(check, "a long, b long")
 
 
@@ -185,7 +201,8 @@ def ngram_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Dat
     # a set has one text here, so the text's key is as good as the set's number, and texts are moved once
     texts = checkpointed(marked.dropDuplicates(["text_key"]).join(wanted, "text_key").select("id", "text"))
     everyone = checkpointed(rows.select("doc_id", *key, "size"))
-    release(rows)
+    release(rows, wanted)
+    discard_shuffles(docs.sparkSession)
 
     def side(df: DataFrame, end: str, names: str) -> DataFrame:
         """Columns of a meeting that belong to one end: its id, size, place, component and parities."""
@@ -197,6 +214,7 @@ def ngram_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Dat
     elsewhere = columns.where(F.col("width") > SMALL).groupBy("id").agg(F.count(F.lit(1)).alias("other"))
     links = checkpointed(_verified(checkpointed(_candidates(met, elsewhere, percent)), texts, n, percent))
     groups = checkpointed(connected(links))
+    discard_shuffles(docs.sparkSession)
 
     open_ = columns.where(F.col("width") > SMALL)
     tried = None
@@ -226,6 +244,7 @@ def ngram_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Dat
         tried = found if tried is None else tried.unionByName(found)
         links = links.unionByName(checkpointed(_verified(found, texts, n, percent)))
         groups = checkpointed(connected(links))
+        discard_shuffles(docs.sparkSession)
 
     named = checkpointed(
         classes.join(groups, "id", "left").select(*key, "first", "copies", F.coalesce("root", "id").alias("root"))

@@ -268,6 +268,16 @@ def test_ngram_join_links_through_rows_without_or_with_shared_ids(spark):
     assert [r["component_id"] for r in ngram_join.ngram_components(alone).collect()] == [None, None]
 
 
+def test_ngram_order_tells_a_shared_passage_from_rare_words(spark):
+    rng = np.random.default_rng(8)
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts = [" ".join(f"w{i}" for i in rng.integers(10**9, size=15_000)) for _ in range(100)]
+    frame = spark.createDataFrame([(f"{t} {passage}" if i < 5 else t,) for i, t in enumerate(texts)], "text string").repartition(4)
+    sketch = ngram_join._sketch(frame, 4)
+    shared, single = (sketch[(shingle_set(word_hashes(t), 4) & np.uint64(len(sketch) - 1)).astype(np.int64)] for t in (passage, texts[50]))
+    assert np.median(shared) > np.percentile(single, 95)
+
+
 def test_ngram_join_of_large_groups(spark):
     rng = np.random.default_rng(3)
     texts = []
