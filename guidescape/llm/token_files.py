@@ -24,7 +24,7 @@ from guidescape.runtime import importable
 END = 2
 WORDS_HELD = 500_000
 ROWS_AT_ONCE = 16
-_MARK = "<|startoftext|>"
+_MARK = "\x7f"
 _FILE = "part long, chunk long, start long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
 
 _encoders: dict[str, "WordEncoder"] = {}
@@ -33,7 +33,8 @@ _encoders: dict[str, "WordEncoder"] = {}
 class WordEncoder:
     """Ids of whole texts from a tokenizer whose tokens never span white space, with the words of this worker remembered.
 
-    Unknown words are encoded many at a time, set apart by a special token.
+    Unknown words are encoded many at a time, set apart by a control character that has a token of its own. A special token would
+    do the same, but the tokenizer looks for those slowly. Words that hold the character, or may hold a special token, go alone.
     """
 
     def __init__(self, path: str):
@@ -41,7 +42,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark = self.tokenizer.token_to_id(_MARK)
+        (self.mark,) = self._ids(_MARK)
         self.forget()
 
     def forget(self) -> None:
@@ -59,7 +60,9 @@ class WordEncoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learn(self, words: list[bytes]) -> None:
-        plain = [w for w in words if b"<|" not in w]
+        alone = (b"<|", _MARK.encode())
+        odd = [w for w in words if any(x in w for x in alone)]
+        plain = [w for w in words if not any(x in w for x in alone)] if odd else words
         parts = []
         for at in range(0, len(plain), 512):
             text = f" {_MARK} ".join(w.decode() for w in plain[at : at + 512])
@@ -67,15 +70,15 @@ class WordEncoder:
             marks = np.flatnonzero(ids == self.mark)
             lengths = np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1
             parts.append((ids[ids != self.mark], lengths))
-        odd = [self._ids(w.decode()) for w in words if b"<|" in w]
-        parts.append((np.array([i for x in odd for i in x], np.uint32), np.array([len(x) for x in odd], np.int64)))
+        single = [self._ids(w.decode()) for w in odd]
+        parts.append((np.array([i for x in single for i in x], np.uint32), np.array([len(x) for x in single], np.int64)))
         n, used = len(self.known), int(self.ends[len(self.known)])
         ids, lengths = (np.concatenate(x) for x in zip(*parts))
         self.flat = _room(self.flat, used + len(ids))
         self.ends = _room(self.ends, n + len(lengths) + 1)
         self.flat[used : used + len(ids)] = ids
         self.ends[n + 1 : n + 1 + len(lengths)] = used + np.cumsum(lengths)
-        for word in [*plain, *(w for w in words if b"<|" in w)]:
+        for word in [*plain, *odd]:
             self.known[word] = len(self.known)
 
     def encode(self, text: str | None) -> np.ndarray:

@@ -488,6 +488,25 @@ def test_token_files(spark, docs, empty, tmp_path):
     assert token_files.read_index(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_words_are_learnt_without_special_tokens():
+    encoder = token_files.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    plain, seen = encoder.tokenizer, []
+
+    class Recorded:
+        def encode(self, text, **options):
+            return plain.encode(text, **options)
+
+        def encode_batch_fast(self, texts, **options):
+            seen.extend(texts)
+            return plain.encode_batch_fast(texts, **options)
+
+    encoder.tokenizer = Recorded()
+    for text in ("Some words, some more.", "a\x7fb \x7f c", "\x7f\x7f <|endoftext|> x<|y", "\u0301a ~ b", ""):
+        want = [*plain.encode(text, add_special_tokens=False).ids, token_files.END]
+        assert encoder.encode(text).tolist() == want
+    assert seen and not any("<|" in text for text in seen)
+
+
 def test_shingles_of_short_texts():
     assert len(shingle_set(word_hashes("a b"), 4)) == 1 and len(shingle_set(word_hashes(None), 4)) == 0
     assert shingle_set(word_hashes("A b"), 4)[0] == shingle_set(word_hashes("a B"), 4)[0]
