@@ -1,3 +1,7 @@
+import contextlib
+import threading
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -58,6 +62,50 @@ def test_most_pairs_are_ruled_out_on_clustered_data(spark):
         assert got[got["src"] == i].sort_values("rank")["dst"].tolist() == np.argsort(own, kind="stable")[:4].tolist()
 
 
+def most_on_disk(spark, work):
+    """What ``work`` gives back, and the most bytes of shuffle files seen on disk while it ran."""
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    folders, most, done = [Path(str(f)) for f in folders], [], threading.Event()
+
+    def held():
+        total = 0
+        for path in (p for f in folders for p in f.rglob("shuffle_*.data")):
+            with contextlib.suppress(FileNotFoundError):
+                total += path.stat().st_size
+        return total
+
+    def watch():
+        while not done.wait(0.02):
+            most.append(held())
+
+    runtime.discard_shuffles(spark)
+    first, watcher = held(), threading.Thread(target=watch)
+    watcher.start()
+    try:
+        out = work()
+    finally:
+        done.set()
+        watcher.join()
+    return out, max(most, default=0) - first
+
+
+def test_points_travel_few_times_where_nothing_can_be_ruled_out(spark):
+    matrix = np.random.default_rng(15).normal(size=(6_000, 32))
+    df = points_frame(spark, matrix).persist()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for tables that are too large for it
+    try:
+        got, disk = most_on_disk(spark, lambda: neighbours.knn(df, 3).toPandas())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        df.unpersist()
+    print(f"bytes on disk per byte of points: {disk / matrix.nbytes:.1f}")
+    assert disk < 8 * matrix.nbytes
+    for i in range(0, 6_000, 397):
+        own = np.sqrt(((matrix - matrix[i]) ** 2).sum(axis=1))
+        own[i] = np.inf
+        assert got[got["src"] == i].sort_values("rank")["dst"].tolist() == np.argsort(own, kind="stable")[:3].tolist()
+
+
 def test_bounds_let_every_near_pair_through():
     rng = np.random.default_rng(13)
     for offset in (0.0, 1e4):
