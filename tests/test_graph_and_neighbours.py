@@ -151,6 +151,21 @@ def test_density_equals_brute_force(spark, name):
         assert (table["parent"][i], table["delta"][i]) == (best, pytest.approx(gaps[i, best]))
 
 
+def test_only_the_densest_cell_has_no_parent(spark, monkeypatch):
+    """Bounds and distances may differ by rounding; distances to the densest cell are both."""
+    monkeypatch.setattr(neighbours, "PART_ROWS", 200, raising=False)
+    matrix = np.random.default_rng(16).normal(size=(900, 64)) / 8
+    gaps = all_distances(matrix)
+    order = gaps[17].argsort(kind="stable").argsort()
+    df = points_frame(spark, matrix)
+    rho = spark.createDataFrame([(i, float(1_000 - order[i] // 3)) for i in range(900)], "cell_id long, rho double")
+    table = neighbours.nearest_denser(df, rho, block_rows=64).toPandas().set_index("cell_id").sort_index()
+    for i in range(900):
+        denser = [j for j in range(900) if (order[j] // 3, j) < (order[i] // 3, i)]
+        best = min(denser, key=lambda j: (gaps[i, j], j), default=None)
+        assert pd.isna(table["parent"][i]) if best is None else table["parent"][i] == best
+
+
 def test_density_peaks_recover_planted_groups(spark, task_size):
     table = density.density_rho_delta(points_frame(spark, CLOUDS["clumps"]), 0.1)
     centre = density.density_peaks(table, 3).toPandas().set_index("cell_id")["centre"]
