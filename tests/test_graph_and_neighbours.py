@@ -173,6 +173,20 @@ def test_density_peaks_recover_planted_groups(spark, task_size):
     assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 3
 
 
+@pytest.mark.parametrize("query", ["communities", "graph_partitions", "follow_parents"])
+def test_rounds_leave_only_their_result(spark, tmp_path, monkeypatch, query):
+    monkeypatch.setattr(runtime, "ensure_checkpoint_dir", lambda session: str(tmp_path))
+    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(12)], "src long, dst long, weight double")
+    if query == "communities":
+        out = graph.communities(edges)
+    elif query == "graph_partitions":
+        out = graph.graph_partitions(spark.range(13).withColumnRenamed("id", "cell_id"), edges)
+    else:
+        out = graph.follow_parents(spark.createDataFrame([(i, max(0, i - 1)) for i in range(13)], "cell_id long, parent long"))
+    assert out.count() == 13
+    assert len(list(tmp_path.glob("table-*"))) == 1
+
+
 def test_jaccard_weights(spark, task_size):
     edges = [(0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1), (3, 0), (3, 1)]
     got = graph.jaccard_graph(spark.createDataFrame(edges, "src long, dst long")).collect()
